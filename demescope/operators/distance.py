@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demescope.functions.vectors import METRICS
-from demescope.operators.tiles import dosage_tiles, joint_counts, pair_tiles, spread_tile
+from demescope.operators.tiles import dosage_tiles, joint_counts, meet, pair_tiles, spread_tile
 
 SAMPLE_TILE = 256
 SNP_BLOCK = 16_384
@@ -147,8 +147,7 @@ def cluster_separation(points: DataFrame, tile: int = POINT_TILE) -> DataFrame:
             }
         )
 
-    group = ["tile_a", "tile_b"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, "between double, within double")
+    found = meet(left, right, ["tile_a", "tile_b"], compare, "between double, within double")
     return found.agg(F.min("between").alias("min_between"), F.max("within").alias("max_within"))
 
 
@@ -186,8 +185,7 @@ def nearest_neighbours(
     query_type = queries.schema["id"].dataType.simpleString()
     label_type = points.schema["label"].dataType.simpleString()
     schema = f"query_id {query_type}, id {id_type}, label {label_type}, distance double"
-    group = ["tile_a", "tile_b"]
-    near = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(nearest, schema)
+    near = meet(left, right, ["tile_a", "tile_b"], nearest, schema)
     # Partial lists merge k at a time: one small array per query, not a sort of all candidates.
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "id", "label"))), 1, k)
     return (

@@ -18,6 +18,7 @@ from pyspark.storagelevel import StorageLevel
 from demescope.operators.qc import label_regions
 from demescope.operators.reshape import slice_vector, split_rows
 
+LOCAL_GRAM = 2048
 PCA_METHODS = ("GramSVD", "Power", "Randomized", "GLRM")
 
 
@@ -36,11 +37,26 @@ def _row_matrix(df: DataFrame, vector: str) -> RowMatrix:
     return RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(vector), vector))
 
 
+def right_singular(df: DataFrame, vector: str, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading singular values and right singular vectors of the matrix with these rows.
+
+    Up to ``LOCAL_GRAM`` columns the products of the columns are summed in one distributed pass and
+    decomposed on the driver (a matrix of at most 32 MB); beyond, the iterative distributed solver runs.
+    """
+    matrix = _row_matrix(df, vector)
+    if width > LOCAL_GRAM:
+        svd = matrix.computeSVD(k, computeU=False)
+        return svd.s.toArray(), svd.V.toArray()
+    values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+    top = np.argsort(values)[::-1][:k]
+    return np.sqrt(np.maximum(values[top], 0.0)), vectors[:, top]
+
+
 def explained_components(df: DataFrame, n_pc: int, threshold: float = 0.7, vector: str = "features") -> int:
     """Components to keep by the singular values of uncentred score vectors."""
     rows = df.select(vector).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        values = _row_matrix(rows, vector).computeSVD(n_pc, computeU=False).s.toArray()
+        values, _ = right_singular(rows, vector, n_pc, n_pc)
     finally:
         rows.unpersist()
     return components_by_share(values, threshold)
@@ -151,7 +167,7 @@ def fix_signs(vectors: np.ndarray) -> np.ndarray:
 def _score_table(spark: SparkSession, scores: np.ndarray) -> DataFrame:
     """``(sample_no, features)`` from a samples x k matrix (k columns per sample, on the driver as
     any eigenvector solver leaves it)."""
-    pdf = pd.DataFrame({"sample_no": np.arange(len(scores)), "f": list(scores)})
+    pdf = pd.DataFrame({"sample_no": np.arange(len(scores)), "f": scores.tolist()})
     table = spark.createDataFrame(pdf, "sample_no bigint, f array<double>")
     return table.select("sample_no", array_to_vector("f").alias("features"))
 
@@ -179,9 +195,8 @@ def sample_pca(
         if not m:
             raise ValueError("no varying variant left for the decomposition")
         k = min(k, n - 1, m)
-        svd = _row_matrix(rows, "z").computeSVD(k, computeU=False)
-        s = svd.s.toArray()
-        v = fix_signs(svd.V.toArray())
+        s, v = right_singular(rows, "z", k, n)
+        v = fix_signs(v)
     finally:
         rows.unpersist()
     scores = samples.join(_score_table(spark, v * s if scaled else v), "sample_no")
@@ -249,8 +264,7 @@ def classical_mds(
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         k = min(k, n - 1)
-        svd = _row_matrix(rows, "row").computeSVD(k, computeU=False)
-        s, v = svd.s.toArray(), svd.V.toArray()
+        s, v = right_singular(rows, "row", k, n)
 
         def sign_parts(batches):
             total = np.zeros(v.shape[1])

@@ -83,7 +83,10 @@ def pair_tiles(tiles: DataFrame, pairs: DataFrame, keys: tuple[str, ...], kernel
     on = list(keys)
     left = tiles.withColumnRenamed("tile", "tile_a").join(pairs, [*on, "tile_a"])
     right = tiles.withColumnRenamed("tile", "tile_b").join(pairs, [*on, "tile_b"])
-    group = [*on, "tile_a", "tile_b", "block"]
-    return (
-        left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(kernel, schema)
-    )
+    return meet(left, right, [*on, "tile_a", "tile_b", "block"], kernel, schema)
+
+
+def meet(left: DataFrame, right: DataFrame, group: list[str], kernel, schema: str) -> DataFrame:
+    """Co-groups two tables that share an origin (one side is renamed apart for the analyser)."""
+    apart = right.toDF(*right.columns)
+    return left.groupBy(*group).cogroup(apart.groupBy(*group)).applyInPandas(kernel, schema)
