@@ -27,11 +27,11 @@ _ROW_BITS = 33
 def dense_index(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Gap-free 0-based numbers in the order of ``keys``, without a single-task sort.
 
-    Rows are range partitioned, sorted inside each partition and written out once; a
-    partition's offset is the sum of the sizes before it (one number per partition).
+    Rows are range partitioned, sorted inside each partition and written out with their
+    place; a partition's offset is the sum of the sizes before it (one number per partition).
     """
-    ordered = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
-    placed = ordered.withColumn("_at", F.monotonically_increasing_id())
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", _ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,17 +17,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = tempfile.mkdtemp(prefix="demescope-")
         spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder for a table written once and read back."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below one folder per application."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/demescope-{app}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise on shared storage, so a lost executor costs a re-read only."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes the table to shared storage and reads it back, so a lost executor costs a re-read only.
+
+    Unlike a checkpoint the rows are computed once, and later readers prune columns and know the size.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
