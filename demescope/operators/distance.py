@@ -39,7 +39,7 @@ def sample_differences(cells: DataFrame, tile: int = SAMPLE_TILE, block: int = S
     for side in ("a", "b"):
         pairs = pairs.join(members.select(F.col("tile").alias(f"tile_{side}"), F.col("members").alias(f"ids_{side}")), f"tile_{side}")
 
-    def count(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         about = (left if len(left) else right).iloc[0]
         ids_a, ids_b = np.asarray(about["ids_a"]), np.asarray(about["ids_b"])
         i, j = np.nonzero(ids_a[:, None] < ids_b[None, :])
@@ -131,7 +131,7 @@ def cluster_separation(points: DataFrame, tile: int = POINT_TILE) -> DataFrame:
     left = tiles.withColumnRenamed("tile", "tile_a").join(pairs, "tile_a")
     right = tiles.withColumnRenamed("tile", "tile_b").join(pairs, "tile_b")
 
-    def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["between", "within"])
         x, (ix, cx) = _open_points(a, "id", "cluster")
@@ -166,7 +166,7 @@ def nearest_neighbours(
     left = q.select(F.col("tile").alias("tile_a"), F.explode(F.sequence(F.lit(0).cast("long"), n_p - 1)).alias("tile_b"), "points")
     right = p.select(F.explode(F.sequence(F.lit(0).cast("long"), n_q - 1)).alias("tile_a"), F.col("tile").alias("tile_b"), "points")
 
-    def nearest(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def nearest(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "id", "label", "distance"]
         if not len(a) or not len(b):
             return pd.DataFrame(columns=columns)

@@ -122,7 +122,7 @@ def pair_counts(
         )
         pairs = pairs.join(named, ["contig", f"tile_{side}"])
 
-    def count(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         about = (left if len(left) else right).iloc[0]
         ids_a, pos_a, ids_b, pos_b = (np.asarray(about[c]) for c in ("idx_a", "pos_a", "idx_b", "pos_b"))
         near = (ids_a[:, None] < ids_b[None, :]) & (pos_b[None, :] - pos_a[:, None] <= max_bp)
@@ -209,7 +209,7 @@ def independent_set(
     fresh = decided
     out = [decided]
 
-    def sweep(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sweep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         contig = key[0]
         state: dict[int, bool | None] = {}
         # Scan order is away from the start, so a later node is on one side of all its partners.

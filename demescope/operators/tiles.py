@@ -38,7 +38,7 @@ def dosage_tiles(
     )
     names = [*extra, "tile", "block"]
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, row = np.unique(pdf["_p"].to_numpy(), return_inverse=True)
         col = pdf["_c"].to_numpy()
         width = int(col.max()) + 1
