@@ -28,12 +28,12 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
 from demescope.operators.class_metrics import macro_metrics
 from demescope.operators.contingency import confusion
 from demescope.operators.distance import nearest_neighbours
 from demescope.operators.reshape import best_by, hash_share, split_rows
+from demescope.session import held
 
 KERNELS = ("linear", "quadratic", "RBF")
 FOURIER_FEATURES = 256
@@ -310,21 +310,18 @@ def svm_grid(
     seed: int = 1234,
 ) -> DataFrame:
     """``(kernel, cost, sigma, cv_error, n_support)``: cross-validated error in percent per setting."""
-    rows = train.persist(StorageLevel.MEMORY_AND_DISK)
     fold = F.floor(hash_share("sample_id", seed) * folds)
     out = []
-    try:
+    with held(train) as rows:
         total = rows.count()
         for cost, sigma in itertools.product(costs, [1.0] if kernel == "linear" else sigmas):
             wrong = 0
             for f in range(folds):
-                fit, held = rows.filter(fold != f), rows.filter(fold == f)
+                fit, judged = rows.filter(fold != f), rows.filter(fold == f)
                 model = svm(fit, kernel, cost, sigma, seed=seed)
-                wrong += predicted(model, held).filter("label <> prediction").count()
+                wrong += predicted(model, judged).filter("label <> prediction").count()
             whole = svm(rows, kernel, cost, sigma, seed=seed)
             out.append((kernel, float(cost), float(sigma), 100.0 * wrong / total, margin_rows(whole, rows)))
-    finally:
-        rows.unpersist()
     return train.sparkSession.createDataFrame(out, "kernel string, cost double, sigma double, cv_error double, n_support long")
 
 
@@ -454,16 +451,13 @@ def train_test_errors(
 ) -> DataFrame:
     """``(algorithm, train_error, test_error)`` in percent on one disjoint split."""
     o = _options(options)
-    rows = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = []
-    try:
+    with held(df) as rows:
         train, test = split_rows(rows, train_share, seed)
         for name in classifiers:
             model = CLASSIFIERS[name](train, o)
             errors = [metrics_of(predicted(model, part)).first()["error"] for part in (train, test)]
             out.append((name, *map(float, errors)))
-    finally:
-        rows.unpersist()
     return df.sparkSession.createDataFrame(out, "algorithm string, train_error double, test_error double")
 
 
@@ -475,16 +469,13 @@ def repeated_metrics(
     seed: int = 1234,
 ) -> DataFrame:
     """Macro metrics of train and test rows for every repeat, each on a split of its own seed."""
-    rows = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = []
-    try:
+    with held(df) as rows:
         for repeat in range(repeats):
             train, test = split_rows(rows, train_share, seed + repeat)
             model = fit(train)
             for name, part in (("train", train), ("test", test)):
                 out.append((repeat, name, *metrics_of(predicted(model, part)).first()))
-    finally:
-        rows.unpersist()
     names = "n long, error double, accuracy double, precision double, recall double, f1 double, f1_error double, kappa double"
     return df.sparkSession.createDataFrame(out, f"repeat int, split string, {names}")
 

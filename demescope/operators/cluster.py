@@ -17,10 +17,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
 from demescope.operators.contingency import agreement, confusion
 from demescope.operators.reshape import best_by, hash_share
+from demescope.session import held
 
 MICRO_CLUSTERS = 512
 OUTPUT = ["sample_id", "region", "features", "label", "prediction"]
@@ -81,21 +81,16 @@ def tune_k(
     Purity cannot fall as k grows, hence the adjusted index beside it.
     """
     fit = ALGORITHMS[algorithm]
-    rows = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = None
-    try:
-        scores = []
+    scores = []
+    with held(df) as rows:
         for repeat in range(repeats):
             u = hash_share("sample_id", seed + repeat)
-            train, held = rows.filter(u < train_share), rows.filter(u >= train_share)
+            train, judged = rows.filter(u < train_share), rows.filter(u >= train_share)
             for k in ks:
                 _, model = fit(train, k, seed=seed + repeat)
-                row = agreement(confusion(assign(model, held), "region", "prediction")).first()
+                row = agreement(confusion(assign(model, judged), "region", "prediction")).first()
                 scores.append((k, repeat, row["purity"], row["ari"]))
-        out = df.sparkSession.createDataFrame(scores, "k int, repeat int, purity double, ari double")
-    finally:
-        rows.unpersist()
-    return out
+    return df.sparkSession.createDataFrame(scores, "k int, repeat int, purity double, ari double")
 
 
 def best_k(scores: DataFrame, measure: str = "purity") -> DataFrame:
@@ -192,8 +187,7 @@ def cluster_centres(predictions: DataFrame) -> np.ndarray:
 def seeded_kmeans(df: DataFrame, centres: np.ndarray, max_iter: int = 20, tol: float = 1e-9) -> DataFrame:
     """K-means from given centres. Each step adds up k sums per task and moves only those."""
     centres = np.array(centres, dtype=float)
-    rows = df.select(vector_to_array("features").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with held(df.select(vector_to_array("features").alias("x"))) as rows:
         for _ in range(max_iter):
             now = centres.copy()
 
@@ -220,8 +214,6 @@ def seeded_kmeans(df: DataFrame, centres: np.ndarray, max_iter: int = 20, tol: f
                     centres[r["c"], r["i"]] = r["v"] / r["n"]
             if np.abs(centres - now).max() <= tol:
                 break
-    finally:
-        rows.unpersist()
     return nearest_centre(df, centres)
 
 

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
-from pyspark.storagelevel import StorageLevel
 
 from demescope.operators.qc import label_regions
 from demescope.operators.reshape import slice_vector, split_rows
+from demescope.session import held
 
 LOCAL_GRAM = 2048
 PCA_METHODS = ("GramSVD", "Power", "Randomized", "GLRM")
@@ -54,11 +54,8 @@ def right_singular(df: DataFrame, vector: str, k: int, width: int) -> tuple[np.n
 
 def explained_components(df: DataFrame, n_pc: int, threshold: float = 0.7, vector: str = "features") -> int:
     """Components to keep by the singular values of uncentred score vectors."""
-    rows = df.select(vector).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with held(df.select(vector)) as rows:
         values, _ = right_singular(rows, vector, n_pc, n_pc)
-    finally:
-        rows.unpersist()
     return components_by_share(values, threshold)
 
 
@@ -186,10 +183,9 @@ def sample_pca(
     the total variance.
     """
     spark = cells.sparkSession
-    samples = cells.select("sample_id", "sample_no").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    samples = cells.select("sample_id", "sample_no").distinct()
     n = samples.agg(F.max("sample_no") + 1).first()[0]
-    rows = standardised_rows(cells, n, missing_rate).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with held(standardised_rows(cells, n, missing_rate)) as rows:
         norms = F.aggregate(F.transform(vector_to_array("z"), lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
         m, total = rows.agg(F.count("*"), F.sum(norms)).first()
         if not m:
@@ -197,8 +193,6 @@ def sample_pca(
         k = min(k, n - 1, m)
         s, v = right_singular(rows, "z", k, n)
         v = fix_signs(v)
-    finally:
-        rows.unpersist()
     scores = samples.join(_score_table(spark, v * s if scaled else v), "sample_no")
     values = pd.DataFrame({"pc": np.arange(1, len(s) + 1), "eigenvalue": s**2 / m, "share": s**2 / total})
     return scores.select("sample_id", "features"), spark.createDataFrame(values)
@@ -243,11 +237,10 @@ def classical_mds(
         )
     )
     full = half.select(both.alias("p"), "d2").select("p.a", "p.b", "d2")
-    means = full.groupBy("a").agg((F.sum("d2") / n).alias("mean")).persist(StorageLevel.MEMORY_AND_DISK)
-    listed = means.orderBy("a").collect()  # one number per sample, as the eigenvectors below
+    means = full.groupBy("a").agg((F.sum("d2") / n).alias("mean"))
+    listed = means.collect()  # one number per sample, as the eigenvectors below
     mean = np.zeros(n)
     mean[[r["a"] for r in listed]] = [r["mean"] for r in listed]
-    means.unpersist()
     grand = mean.mean()
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -261,8 +254,7 @@ def classical_mds(
 
     packed = full.groupBy("a").agg(F.collect_list("b").alias("b"), F.collect_list("d2").alias("d2"))
     rows = packed.select(F.col("a").alias("sample_no"), array_to_vector(centre("a", "b", "d2")).alias("row"))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with held(rows) as rows:
         k = min(k, n - 1)
         s, v = right_singular(rows, "row", k, n)
 
@@ -276,8 +268,6 @@ def classical_mds(
         plain = rows.select("sample_no", vector_to_array("row").alias("row"))
         parts = plain.mapInPandas(sign_parts, "axis bigint, part double").groupBy("axis").agg(F.sum("part").alias("w"))
         sign = {r["axis"]: r["w"] for r in parts.collect()}
-    finally:
-        rows.unpersist()
     positive = [i for i in range(len(s)) if sign[i] > 1e-9 * s[0]]
     values = s[positive]
     keep = len(values) if threshold is None else components_by_share(values, threshold)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from demescope.operators import classify, cluster, reduce, reshape
 from demescope.operators.contingency import agreement, confusion
 from demescope.plans.quality import MAX_BP, Cohort
-from demescope.session import cut_lineage
+from demescope.session import cut_lineage, held
 
 Range = tuple[float, float]
 SETTING = ["cell", "min_maf", "max_maf", "ld", "npc"]
@@ -56,10 +56,9 @@ def _grid(cohort: Cohort, maf, ld, npc, algorithms, score: Callable, columns: st
     with ThreadPoolExecutor(parallelism) as pool:
         for setting, frame in _cells(cohort, maf, ld, npc, max_bp, method):
             # The estimators of a cell share its rows and run side by side.
-            frame = frame.persist()
-            run = inheritable_thread_target(lambda name, frame=frame: score(frame, name))
-            found = list(pool.map(run, algorithms))
-            frame.unpersist()
+            with held(frame) as rows_:
+                run = inheritable_thread_target(lambda name, rows_=rows_: score(rows_, name))
+                found = list(pool.map(run, algorithms))
             rows.extend((*setting, name, *values) for name, values in zip(algorithms, found))
     schema = f"cell int, min_maf double, max_maf double, ld double, npc int, algorithm string, {columns}"
     return cohort.cells.sparkSession.createDataFrame(rows, schema)
