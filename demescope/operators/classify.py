@@ -25,7 +25,7 @@ from pyspark.ml.feature import ElementwiseProduct, IndexToString, PolynomialExpa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,8 +143,6 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     fitted = model.stages[-1]
     values = fitted.featureImportances.toArray()
     rows = pd.DataFrame({"feature": np.arange(1, len(values) + 1), "importance": values})
-    from pyspark.sql import SparkSession
-
     return SparkSession.getActiveSession().createDataFrame(rows, "feature int, importance double")
 
 
@@ -189,15 +187,15 @@ def forest_report(train: DataFrame, test: DataFrame, trees: int = 500, folds: in
     Training rows are judged by forests that did not see them (folds stand in for out-of-bag votes).
     """
     model = random_forest(train, numTrees=trees, seed=seed)
-    held = None
+    unseen = None
     for fold in range(folds):
         u = F.floor(hash_share("sample_id", seed) * folds)
         part = random_forest(train.filter(u != fold), numTrees=trees, seed=seed)
         names = part.stages[0].labels
         judged = with_class_names(predicted(part, train.filter(u == fold)), [*names, "Unknown"])
         judged = judged.select(F.col("region").alias("label"), F.col("predicted_region").alias("prediction"))
-        held = judged if held is None else held.unionByName(judged)
-    rows = macro_metrics(confusion(held)).withColumn("split", F.lit("train"))
+        unseen = judged if unseen is None else unseen.unionByName(judged)
+    rows = macro_metrics(confusion(unseen)).withColumn("split", F.lit("train"))
     tested = metrics_of(predicted(model, test)).withColumn("split", F.lit("test"))
     return model, rows.unionByName(tested)
 

@@ -9,8 +9,8 @@ from demescope.functions.ld_measures import CELLS, haplotype_counts, with_haplot
 from demescope.functions.vectors import METRICS, vector_distance
 from demescope.operators import distance, ld, outliers, qc, reduce, reshape
 from demescope.schema import VARIANT
-from registry.catalogue import query, r6
-from registry.cohort import dosages, numbered, regions, table
+from registry.catalogue import ORACLES, query, r6
+from registry.cohort import BASE, dosages, numbered, regions, table
 
 MAX_BP = 5000
 CELL_SQL = ", ".join(
@@ -67,7 +67,7 @@ HAPLO = f"""
     cast(2 * n02 + n01 + n12 as double) as hba, cast(2 * n00 + n01 + n10 as double) as hbb, cast(n11 as double) as dh from sums
 )"""
 LL = "haa * ln(p1 + 2.220446049250313e-16) + hab * ln(p2 + 2.220446049250313e-16) + hba * ln(p3 + 2.220446049250313e-16) + hbb * ln(p4 + 2.220446049250313e-16)"
-EM = HAPLO.replace("with people", "with recursive people") + f"""
+EM = f"""{HAPLO}
 , begun as (
   select contig, idx_a, idx_b, haa, hab, hba, hbb, dh, haa + hab + hba + hbb + 2 * dh as tot,
     (haa + 0.01) / (haa + hab + hba + hbb + 0.04) as p1, (hab + 0.01) / (haa + hab + hba + hbb + 0.04) as p2,
@@ -107,7 +107,7 @@ def haplotype_table(spark, sf):
 @query("haplotype_shares")
 def haplotype_share_table(spark, sf):
     shares = with_haplotypes(counts(spark, sf))
-    return shares.select("contig", "idx_a", "idx_b", *[r6(F.col("hap")[c]).alias(c) for c in ("pAA", "pAB", "pBA", "pBB")])
+    return shares.select("contig", "idx_a", "idx_b", *[(r6(F.col("hap")[c]) + 0.0).alias(c) for c in ("pAA", "pAB", "pBA", "pBB")])
 
 
 @query("ld_r")
@@ -120,17 +120,40 @@ def ld_dprime(spark, sf):
     return ld_query(spark, sf, "dprime")
 
 
-def registered_recursive(name, column):
-    """The iteration as SQL: the recursive keyword belongs at the head of the whole statement."""
-    from registry.catalogue import ORACLES
-    from registry.cohort import BASE
+def recursive(name, text):
+    """Registers SQL with a recursion: the keyword belongs at the head of the whole statement."""
+    ORACLES[name] = (BASE.rstrip() + text).replace("with people as", "with recursive people as", 1)
 
-    text = BASE.rstrip() + EM + f" select contig, idx_a, idx_b, cast(n_valid as bigint) as n_valid, round({column}, 6) + 0.0 as ld from ldr"
-    ORACLES[name] = text.replace("with people as", "with recursive people as", 1)
 
+for _name, _column in (("ld_r", "r"), ("ld_dprime", "dp")):
+    recursive(_name, f"{EM} select contig, idx_a, idx_b, cast(n_valid as bigint) as n_valid, round({_column}, 6) + 0.0 as ld from ldr")
+recursive("haplotype_shares", EM + """ select contig, idx_a, idx_b, round(p1, 6) + 0.0 as "pAA", round(p2, 6) + 0.0 as "pAB",
+  round(p3, 6) + 0.0 as "pBA", round(p4, 6) + 0.0 as "pBB" from shares""")
 
-registered_recursive("ld_r", "r")
-registered_recursive("ld_dprime", "dp")
+
+def scan_sql(condition):
+    """The greedy scan over the variants meeting a condition, one step per variant and contig."""
+    return f"""{NEAR}, rates as (
+  select contig, pos, ref_allele, alt_allele, least(sum(dosage) / (2.0 * count(*)), 1.0 - sum(dosage) / (2.0 * count(*))) as maf
+  from dosages group by 1, 2, 3, 4
+), picked as (
+  select snps.*, maf, row_number() over (partition by contig order by snp_idx) as rn
+  from snps join rates using (contig, pos, ref_allele, alt_allele) where {condition}
+), blocked as (
+  select corr.contig, y.rn, list(x.rn) as partners from corr join picked x on x.snp_idx = idx_a join picked y on y.snp_idx = idx_b
+  where not coalesce(abs(ld) <= 0.2, false) group by 1, 2
+), walk as (
+  select contig, cast(1 as bigint) as rn, count(*) as last, [cast(1 as bigint)] as kept from picked group by contig
+  union all
+  select w.contig, w.rn + 1, w.last,
+    case when b.partners is not null and list_has_any(w.kept, b.partners) then w.kept else list_append(w.kept, w.rn + 1) end
+  from walk w left join blocked b on b.contig = w.contig and b.rn = w.rn + 1 where w.rn < w.last
+), pruned as (
+  select picked.* from (select contig, unnest(kept) as rn from walk where rn = last) k join picked using (contig, rn)
+)"""
+
+
+recursive("ld_pruned", scan_sql("true") + f" select snp_idx, {', '.join(VARIANT)} from pruned")
 
 
 @query("ld_pruned")

@@ -227,7 +227,7 @@ classified("svm_rbf", lambda df: classify.svm(df, "RBF"))
 classified("decision_tree", lambda df: classify.decision_tree(df, maxDepth=6))
 classified("decision_tree_cv", lambda df: classify.decision_tree(df, cv=True, folds=3, bins=(10, 20), depths=(4, 6)))
 classified("random_forest", lambda df: classify.random_forest(df, numTrees=50))
-classified("svm_linear_cv", lambda df: classify.svm_cv(df, folds=3))
+classified("svm_linear_cv", lambda df: classify.svm_cv(df, folds=2, reg=(0.01, 0.1), intercept=(True,)))
 classified("naive_bayes", classify.naive_bayes)
 classified("linear_discriminant", lambda df: classify.discriminant(df))
 classified("quadratic_discriminant", lambda df: classify.discriminant(df, quadratic=True))

@@ -11,6 +11,7 @@ from demescope.session import scratch_path
 from demescope.sources import readers, writers
 from registry.catalogue import query, r6
 from registry.cohort import calls, dosages, regions
+from registry.genetics import recursive, scan_sql
 from registry.models import components
 from registry.tables import SUMMARY, V
 
@@ -34,6 +35,12 @@ def selected_cells(spark, sf):
     return cells.select("sample_id", "region", *VARIANT, "dosage")
 
 
+SELECTED = scan_sql("maf > 0.05 and maf < 0.5")
+recursive("selected_panel", f"{SELECTED} select {V}, round(maf, 6) as maf from pruned")
+recursive("selected_cells", f"{SELECTED} select sample_id, super_pop as region, {V}, dosage from numbered join pruned using (snp_idx, {V}) join people on sample = sample_id")
+recursive("selected_subset", f"{SELECTED} select sample_id, {V}, dosage from numbered join pruned using (snp_idx, {V})")
+
+
 @query("selected_components")
 def selected_components(spark, sf):
     scores, _ = quality.qc_pca(cohort(spark, sf), 4, min_maf=0.05, max_maf=0.5, ld=0.2, max_bp=MAX_BP)

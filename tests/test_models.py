@@ -12,7 +12,7 @@ def blobs(spark):
     centres = np.array([[0, 0], [6, 0], [0, 6]])
     lab = np.arange(90) % 3
     x = centres[lab] + rng.normal(size=(90, 2))
-    df = spark.createDataFrame([(f"s{i:02d}", "ABC"[lab[i]], Vectors.dense(x[i])) for i in range(90)], ["sample_id", "region", "features"]).persist()
+    df = spark.createDataFrame([(f"s{i:02d}", "ABC"[lab[i]], Vectors.dense(x[i])) for i in range(90)], ["sample_id", "region", "features"]).coalesce(1).persist()
     return df, x, lab
 
 
