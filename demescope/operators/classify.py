@@ -33,7 +33,7 @@ from demescope.operators.class_metrics import macro_metrics
 from demescope.operators.contingency import confusion
 from demescope.operators.distance import nearest_neighbours
 from demescope.operators.reshape import best_by, hash_share, split_rows
-from demescope.session import held
+from demescope.session import fit_table, held
 
 KERNELS = ("linear", "quadratic", "RBF")
 FOURIER_FEATURES = 256
@@ -79,7 +79,8 @@ SVM_REG = (0.01, 0.1, 10.0)
 def _fit(df: DataFrame, stages: list, grid: list | None, folds: int, seed: int, parallelism: int) -> PipelineModel | CrossValidatorModel:
     pipeline = Pipeline(stages=[label_index(), *stages])
     if grid is None:
-        return pipeline.fit(df)
+        with fit_table(df) as rows:
+            return pipeline.fit(rows)
     search = CrossValidator(
         estimator=pipeline,
         estimatorParamMaps=grid,
@@ -88,7 +89,8 @@ def _fit(df: DataFrame, stages: list, grid: list | None, folds: int, seed: int,
         seed=seed,
         parallelism=parallelism,
     )
-    return search.fit(df)
+    with fit_table(df) as rows:
+        return search.fit(rows)
 
 
 def _tree_grid(tree, bins, depths, impurities):
@@ -172,7 +174,8 @@ def pruned_tree(
         seed=seed,
         parallelism=parallelism,
     )
-    found = search.fit(train)
+    with fit_table(train) as table:
+        found = search.fit(table)
     rows = [
         (float(g[tree.minInfoGain]), int(g[tree.maxDepth]), float(100 * (1 - a)))
         for g, a in zip(grid, found.avgMetrics)
@@ -261,7 +264,8 @@ def svm(
     n = df.count()
     machine = LinearSVC(regParam=1.0 / (cost * n), maxIter=max_iter, tol=tol, fitIntercept=intercept, featuresCol=column, standardization=False)
     rest = OneVsRest(classifier=machine, featuresCol=column, parallelism=parallelism)
-    return Pipeline(stages=[label_index(), *stages, rest]).fit(df)
+    with fit_table(df) as rows:
+        return Pipeline(stages=[label_index(), *stages, rest]).fit(rows)
 
 
 def svm_cv(

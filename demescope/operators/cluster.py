@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from demescope.operators.contingency import agreement, confusion
 from demescope.operators.reshape import best_by, hash_share
-from demescope.session import held
+from demescope.session import fit_table, held
 
 MICRO_CLUSTERS = 512
 OUTPUT = ["sample_id", "region", "features", "label", "prediction"]
@@ -32,7 +32,8 @@ def _fit(df: DataFrame, estimator, standardise: bool = False) -> tuple[DataFrame
     if standardise:
         stages.append(StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="_scaled"))
         estimator = estimator.copy({estimator.featuresCol: "_scaled"})
-    model = Pipeline(stages=[*stages, estimator]).fit(df)
+    with fit_table(df) as rows:
+        model = Pipeline(stages=[*stages, estimator]).fit(rows)
     return assign(model, df), model
 
 

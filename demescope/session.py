@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,3 +52,18 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
         yield df
     finally:
         df.unpersist()
+
+
+ROWS_PER_FIT_TASK = 20_000
+
+
+@contextmanager
+def fit_table(df: DataFrame) -> Iterator[DataFrame]:
+    """A training table cached in partitions sized by its rows.
+
+    Solvers run hundreds of passes; on a table of a few rows in many partitions the tasks, not the
+    arithmetic, would set the pace.
+    """
+    parts = max(1, math.ceil(df.count() / ROWS_PER_FIT_TASK))
+    with held(df.repartition(parts)) as rows:
+        yield rows
