@@ -43,12 +43,16 @@ _UP = _powers(_BASE, PIECE_BYTES + 1)
 _DOWN = _powers(pow(_BASE, -1, 1 << 64), PIECE_BYTES + 1)
 
 
-def _hash_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Also parts words at ASCII punctuation.
+PUNCTUATION = _SPACE | np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def _hash_piece(data: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first bytes of the words of one piece of bytes."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    white = _SPACE[data]
+    white = gaps[data]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     up, down = (_UP, _DOWN) if n <= PIECE_BYTES else (_powers(_BASE, n + 1), _powers(pow(_BASE, -1, 1 << 64), n + 1))
@@ -68,10 +72,10 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(column: pa.Array, gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, word counts of consecutive rows) of a string column, some rows at a time.
 
-    A word is a run of bytes other than space and \\x09-\\x0D, with A-Z lower-cased. Whole rows are dealt
+    A word is a run of bytes other than ``gaps`` (space and \\x09-\\x0D), with A-Z lower-cased. Whole rows are dealt
     out until about a megabyte of text is reached; a longer row is cut at white space while it is hashed,
     so the memory beyond the hashes themselves stays bounded.
     """
@@ -85,9 +89,9 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
             parts, at = [], a
             while at < b:
                 to = min(b, at + PIECE_BYTES)
-                while to < b and not _SPACE[data[to]]:
+                while to < b and not gaps[data[to]]:
                     to += 1
-                parts.append(_hash_piece(data[at:to])[0])
+                parts.append(_hash_piece(data[at:to], gaps)[0])
                 at = to
             hashes = np.concatenate(parts)
             yield row, hashes, np.array([len(hashes)])
@@ -100,9 +104,9 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
             parts, firsts, at, n = [], [], 0, len(spaced)
             while at < n:
                 to = min(n, at + PIECE_BYTES)
-                while to < n and not _SPACE[spaced[to]]:
+                while to < n and not gaps[spaced[to]]:
                     to += 1
-                h, s = _hash_piece(spaced[at:to])
+                h, s = _hash_piece(spaced[at:to], gaps)
                 parts.append(h)
                 firsts.append(s + at)
                 at = to
@@ -173,3 +177,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return small.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(
         small.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
     )
+
+
+def shingle_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, first word) of every run of ``n`` words that lies in one row."""
+    total = len(words)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    if total < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value = words[: total - n + 1].copy()
+    for k in range(1, n):
+        value = mix64(value) + words[k : total - n + 1 + k]
+    at = np.flatnonzero(rows[: total - n + 1] == rows[n - 1 :])
+    return mix64(value[at]), rows[at], at

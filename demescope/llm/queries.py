@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from demescope.llm.decontaminate import leaked_items
 from demescope.llm.exact_dedup import exact_duplicates
+from demescope.llm.line_dedup import without_boilerplate
+from demescope.llm.token_grammar import read_shards, write_shards
+from demescope.llm.url_filter import judged_urls
 from demescope.llm.warc import archived_pages
+from demescope.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +33,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_token_grammar")
+def token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    write_shards(table(spark, sf_dir, "documents"), tokenizer_file(TOKENIZER), path)
+    return read_shards(spark, path)
+
+
+@query("op3_string_tiling")
+def string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_url_language_models")
+def url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(table(spark, sf_dir, "pages"))
+
+
 @query(
     "op5_exact_dedup",
     r"""
@@ -59,3 +91,27 @@ from ranked
 )
 def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op8_site_lines",
+    r"""
+with rows_ as (
+  select doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents
+), totals as (
+  select host, count(distinct text) as total from rows_ group by host
+), split_ as (
+  select doc_id, host, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from rows_
+), shared as (
+  select host, line from split_ join totals using (host) where trim(line, ' ') <> ''
+  group by host, line, total having count(distinct text) >= 5 and count(distinct text) > 0.01 * total
+)
+select s.doc_id, cast(count(*) as int) as n_lines, cast(count(h.line) as int) as n_dropped,
+  md5(coalesce(string_agg(s.line, chr(10) order by s.pos) filter (h.line is null), '')) as text_md5
+from split_ s left join shared h on s.host = h.host and s.line = h.line
+group by s.doc_id
+""",
+)
+def site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = without_boilerplate(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
