@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from demescope.llm.decontaminate import leaked_items
 from demescope.llm.exact_dedup import exact_duplicates
+from demescope.llm.jaccard_join import similar_documents
 from demescope.llm.line_dedup import without_boilerplate
 from demescope.llm.token_grammar import read_shards, write_shards
 from demescope.llm.url_filter import judged_urls
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
