@@ -12,6 +12,7 @@ from demescope.llm.exact_dedup import exact_duplicates
 from demescope.llm.jaccard_join import similar_documents
 from demescope.llm.line_dedup import without_boilerplate
 from demescope.llm.token_grammar import read_shards, write_shards
+from demescope.llm.toxicity import toxicity
 from demescope.llm.url_filter import judged_urls
 from demescope.llm.warc import archived_pages
 from demescope.session import scratch_path
@@ -99,6 +100,11 @@ def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op7_toxicity")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(
     "op8_site_lines",
     r"""
