@@ -11,6 +11,7 @@ from demescope.llm.decontaminate import leaked_items
 from demescope.llm.exact_dedup import exact_duplicates
 from demescope.llm.jaccard_join import similar_documents
 from demescope.llm.line_dedup import without_boilerplate
+from demescope.llm.sentence_pieces import encoded
 from demescope.llm.token_grammar import read_shards, write_shards
 from demescope.llm.toxicity import toxicity
 from demescope.llm.url_filter import judged_urls
@@ -41,6 +42,7 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_file(name: str) -> str:
@@ -127,3 +129,8 @@ group by s.doc_id
 def site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_boilerplate(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
+@query("op10_piece_segmentation")
+def piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL), ids=False)
