@@ -14,6 +14,7 @@ from demescope.llm.line_dedup import without_boilerplate
 from demescope.llm.sentence_pieces import encoded
 from demescope.llm.token_grammar import read_shards, write_shards
 from demescope.llm.toxicity import toxicity
+from demescope.llm.transcripts import fit, raw_transcripts, rendered
 from demescope.llm.url_filter import judged_urls
 from demescope.llm.warc import archived_pages
 from demescope.session import scratch_path
@@ -102,6 +103,15 @@ def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op6_transcript_roles")
+def transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    raw = raw_transcripts(turns)
+    # The model learns from the raw lines with their known roles; rendering sees the raw lines alone.
+    known = raw.join(turns.select("conv_id", F.col("turn").alias("part"), "role"), ["conv_id", "part"])
+    return rendered(raw, fit(known, order="part"))
+
+
 @query("op7_toxicity")
 def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
