@@ -122,6 +122,7 @@ def text_of(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 HOT_GROUPS = 1000
+EDGES_PER_TASK = 500_000
 
 
 def look_up(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
@@ -148,6 +149,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     x, y = F.col(a), F.col(b)
     now = cut_lineage(edges.filter(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct())
+    # The steps never have more rows than these edges and as many nodes, so their tasks follow this count.
+    parts = 1 + now.count() // EDGES_PER_TASK
     while True:
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), F.least("m", "hi").alias("m"))
@@ -159,7 +162,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .filter("hi <> lo")
             .distinct()
         )
-        large = cut_lineage(large)
+        large = cut_lineage(large.coalesce(parts))
         small_least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
         paired = large.join(small_least, "hi")
         small = (
@@ -168,10 +171,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .union(small_least.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        small = cut_lineage(small)
-        stars = small.agg(F.count("*").alias("n"), F.countDistinct("hi").alias("h")).first()
-        roots_below = small.join(small.select(F.col("hi").alias("lo")), "lo", "left_semi").limit(1).count()
-        if stars["n"] == stars["h"] and roots_below == 0:
+        small = cut_lineage(small.coalesce(parts))
+        # Done when every node hangs below one other, and none of those below another.
+        hung = small.groupBy("hi").agg(F.count("*").alias("n"))
+        tops = small.select(F.col("lo").alias("hi")).distinct().withColumn("top", F.lit(True))
+        if hung.join(tops, "hi", "left").filter((F.col("n") > 1) | F.col("top")).coalesce(parts).isEmpty():
             break
         now = small
     return small.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(

@@ -146,5 +146,6 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a leaked item, with their columns."""
-    clean = with_leaks(docs, benchmark, docs.columns, **options).filter(F.size("leaks") == 0)
-    return clean.drop("leaks").select(docs.columns)
+    named = docs.withColumnsRenamed({"leaks": "_leaks"})
+    clean = with_leaks(named, benchmark, named.columns, **options).filter(F.size("leaks") == 0)
+    return clean.drop("leaks").withColumnsRenamed({"_leaks": "leaks"}).select(docs.columns)
