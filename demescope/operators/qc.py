@@ -26,7 +26,7 @@ def cohort_size(calls: DataFrame, approx: bool = False) -> DataFrame:
     return calls.agg(count("sample_id").cast("long").alias("n_samples"))
 
 
-def _size_column(n_samples: int | DataFrame) -> Column:
+def size_column(n_samples: int | DataFrame) -> Column:
     return n_samples.scalar() if isinstance(n_samples, DataFrame) else F.lit(n_samples)
 
 
@@ -46,7 +46,7 @@ def variant_summary(
     the cohort is counted from the calls. ``with_genotypes`` adds the ``sample:dosage`` texts
     (one entry per sample in one row, so only for cohorts whose row fits a task).
     """
-    n = _size_column(cohort_size(calls) if n_samples is None else n_samples)
+    n = size_column(cohort_size(calls) if n_samples is None else n_samples)
     rows = calls.filter(is_snv("ref_allele", "alt_allele")) if snv_only else calls
     measures = [
         F.count("dosage").alias("nonmissing"),
@@ -90,7 +90,7 @@ def allele_totals(calls: DataFrame) -> DataFrame:
 
 def carrier_frequency(calls: DataFrame, n_samples: int | DataFrame | None = None) -> DataFrame:
     """Calls per variant and the share of the cohort carrying at least one alternate allele."""
-    n = _size_column(cohort_size(calls) if n_samples is None else n_samples)
+    n = size_column(cohort_size(calls) if n_samples is None else n_samples)
     return (
         calls.groupBy(*VARIANT)
         .agg(
@@ -113,7 +113,7 @@ def sample_stats(dosages: DataFrame, n_variants: int | DataFrame | None = None)
     """Calls, missing rate, mean dosage and heterozygosity of each sample."""
     if n_variants is None:
         n_variants = dosages.select(*VARIANT).distinct().agg(F.count("*").alias("n_variants"))
-    n = _size_column(n_variants)
+    n = size_column(n_variants)
     return (
         dosages.groupBy("sample_id")
         .agg(
@@ -153,10 +153,19 @@ def biallelic(variants: DataFrame) -> DataFrame:
     return variants.join(single.select(*SITE), SITE, "left_semi")
 
 
+def enough_calls(calls: Column, n_samples: Column, missing_rate: float) -> Column:
+    """Whether ``calls`` of ``n_samples`` leave at most ``missing_rate`` missing; exact at the limit.
+
+    Counts are compared: the limit is rounded up to a whole number of calls after a margin far below one
+    call, as a product such as 10 * (1 - 0.7) may come out above 3.
+    """
+    return calls >= F.ceil(n_samples * F.lit(1.0 - missing_rate) - F.lit(1e-9))
+
+
 def complete(variants: DataFrame, n_samples: int | DataFrame, missing_rate: float = 0.0) -> DataFrame:
     """Variants called in at least ``1 - missing_rate`` of the cohort."""
     _check_share("missing_rate", missing_rate)
-    return variants.filter(F.col("nonmissing") >= _size_column(n_samples) * F.lit(1.0 - missing_rate))
+    return variants.filter(enough_calls(F.col("nonmissing"), size_column(n_samples), missing_rate))
 
 
 def frequency_between(

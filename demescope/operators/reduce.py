@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from demescope.operators.qc import label_regions
+from demescope.operators.qc import enough_calls, label_regions
 from demescope.operators.reshape import slice_vector, split_rows
 from demescope.session import held
 
@@ -149,7 +149,7 @@ def standardised_rows(cells: DataFrame, n_samples: int, missing_rate: float | No
         .agg(F.collect_list("sample_no").alias("s"), F.collect_list("dosage").alias("g"))
     )
     if missing_rate is not None:
-        packed = packed.filter(F.size("s") >= n_samples * (1.0 - missing_rate))
+        packed = packed.filter(enough_calls(F.size("s"), F.lit(n_samples), missing_rate))
     dense = packed.select("snp_idx", standardise("s", "g").alias("z")).filter(F.col("z").isNotNull())
     return dense.select("snp_idx", array_to_vector("z").alias("z"))
 
@@ -198,11 +198,11 @@ def sample_pca(
     return scores.select("sample_id", "features"), spark.createDataFrame(values)
 
 
-def eigenvalue_table(values: DataFrame, max_rows: int = 50) -> DataFrame:
-    """Component name, eigenvalue, percentage and running percentage, to two decimals."""
+def eigenvalue_table(values: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Component name, eigenvalue, percentage and running percentage, to two decimals; the first ``max_rows`` or all."""
     running = Window.orderBy("pc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        values.filter(F.col("pc") <= max_rows)  # the report lists this many components
+        (values if max_rows is None else values.filter(F.col("pc") <= max_rows))
         .withColumn("cum", F.sum("share").over(running))
         .select(
             F.concat(F.lit("PC"), F.col("pc").cast("string")).alias("component"),

@@ -22,7 +22,7 @@ class Cohort:
     """Dosages numbered once, with the frequency table every later step reads.
 
     ``cells``: sample_id, sample_no, contig, pos, alleles, snp_idx, dosage (written out).
-    ``variants``: snp_idx, VARIANT, nonmissing, af, maf, missing_rate (written out).
+    ``variants``: snp_idx, VARIANT, nonmissing, n_samples, af, maf, missing_rate (written out).
     """
 
     cells: DataFrame
@@ -37,14 +37,15 @@ class Cohort:
         n = cells.agg((F.max("sample_no") + 1).alias("n"))
         rates = qc.variant_summary(cells, n, snv_only=False)
         numbers = cells.select("snp_idx", *VARIANT).distinct()
-        return cls(cells, cut_lineage(rates.join(numbers, VARIANT)), regions)
+        sized = rates.join(numbers, VARIANT).withColumn("n_samples", qc.size_column(n))
+        return cls(cells, cut_lineage(sized), regions)
 
     def chosen(
         self, min_maf: float, max_maf: float, missing_rate: float = 1.0, bounds: str = "strict"
     ) -> DataFrame:
-        """Variants in the frequency range and below the missing rate."""
+        """Variants in the frequency range with at most the missing rate."""
         inside = qc.frequency_between(self.variants, min_maf, max_maf, "maf", bounds)
-        return inside.filter(F.col("missing_rate") <= missing_rate)
+        return inside.filter(qc.enough_calls(F.col("nonmissing"), F.col("n_samples"), missing_rate))
 
     def restrict(self, snps: DataFrame) -> DataFrame:
         return self.cells.join(snps.select("snp_idx"), "snp_idx", "left_semi")

@@ -62,6 +62,7 @@ def stratify(
     npc: int = 20,
     variance: float = 0.7,
     mds_metric: str = "euclidean",
+    mds_p: float = 2,
     clustering: str | None = "kmeans",
     n_clusters: int | None = None,
     tune_clusters: bool = False,
@@ -99,8 +100,9 @@ def stratify(
 
     cohort = timed("frequencies", quality)
     low, high = (min_freq, max_freq) if frequencies else (0.0, 1.0)
-    chosen = qc.biallelic(qc.frequency_between(cohort.variants, low, high, measure))
-    chosen = chosen.filter(F.col("missing_rate") <= missing_rate + 1e-12)
+    # A site is judged by all its alternates, before rare ones are filtered out.
+    chosen = qc.frequency_between(qc.biallelic(cohort.variants), low, high, measure)
+    chosen = chosen.filter(qc.enough_calls(F.col("nonmissing"), F.col("n_samples"), missing_rate))
     if prune:
         pairs = timed("linkage", lambda: cohort.pairs(chosen, ld_method, ld_max_bp, ld_max_n))
         chosen = timed("pruning", lambda: cut_lineage(cohort.pruned(chosen, pairs, ld_threshold)))
@@ -112,7 +114,7 @@ def stratify(
 
     def reduced() -> DataFrame:
         if reduction == "MDS":
-            pairs_ = distance.sample_distances(cells, mds_metric, rescale=True)
+            pairs_ = distance.sample_distances(cells, mds_metric, mds_p, rescale=True)
             n = cells.agg(F.max("sample_no") + 1).first()[0]
             names = cells.select("sample_id", "sample_no").distinct()
             scores = reduce.classical_mds(pairs_, n, npc, variance).join(names, "sample_no")
@@ -127,8 +129,8 @@ def stratify(
     if clustering is not None:
         k = n_clusters or regions.select("region").distinct().count()
         if tune_clusters:
-            scores = timed("cluster count", lambda: cluster.tune_k(study.samples, clustering, (1, 2, 3, 4, 5) if clustering != "bkm" else (2, 3, 4, 5), repeats))
-            k = max(2, cluster.best_k(scores).first()["k"])
+            scores = timed("cluster count", lambda: cluster.tune_k(study.samples, clustering, (2, 3, 4, 5), repeats))
+            k = cluster.best_k(scores).first()["k"]
         study.clusters = timed("clustering", lambda: cut_lineage(cluster.ALGORITHMS[clustering](study.samples, k)[0]))
         study.cluster_metrics = timed("cluster metrics", lambda: cut_lineage(cluster_metrics.cluster_metrics(study.clusters)))
     if classification is not None:

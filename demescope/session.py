@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,10 +16,13 @@ from pyspark.storagelevel import StorageLevel
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without one (a local test) gets a folder of its own.
+    Only a local session without one, whose executors share the driver's disk, gets a folder of its own; on a
+    cluster the setting has to be there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="demescope-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
