@@ -17,6 +17,52 @@ from demescope.llm.common import column_bytes
 MARK = "▁"  # how pieces write a space
 FALLBACK = 10.0  # a byte's score lies this far below the lowest piece's
 CHUNK_BYTES = 1 << 20
+TOGETHER = 64  # units of at most so many characters are searched in step with others
+STEP_UNITS = 20_000
+
+
+class Trie:
+    """The pieces as a table of transitions, so that the edges of many units are found at once."""
+
+    def __init__(self, scores: dict[str, float], ids: dict[str, int]):
+        letters = sorted({c for p in scores for c in p})
+        self.letters = np.array([ord(c) for c in letters], np.int64)
+        code = {c: k for k, c in enumerate(letters)}
+        self.width = len(letters) + 1
+        nodes: dict[int, int] = {}
+        score, piece = [-np.inf], [-1]
+        for p, s in scores.items():
+            node = 0
+            for c in p:
+                key = node * self.width + code[c]
+                if (node := nodes.get(key, -1)) < 0:
+                    node = nodes[key] = len(score)
+                    score.append(-np.inf)
+                    piece.append(-1)
+            score[node], piece[node] = s, ids[p]
+        self.keys = np.array(sorted(nodes), np.int64)
+        self.to = np.array([nodes[k] for k in self.keys.tolist()], np.int64)
+        self.score, self.piece = np.array(score), np.array(piece)
+
+    def coded(self, points: np.ndarray) -> np.ndarray:
+        """Letter codes of code points; one that no piece has gets the code after the last."""
+        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
+        return np.where(self.letters[at] == points, at, len(self.letters))
+
+    def edges(self, code: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, score, id) of every piece in the flat codes; ``stop`` is the end of each place's unit."""
+        begin, node, found = np.arange(len(code)), np.zeros(len(code), np.int64), []
+        at = begin
+        while len(begin):
+            key = node * self.width + code[at]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[k] == key
+            begin, at, node = begin[on], at[on] + 1, self.to[k[on]]
+            whole = self.piece[node] >= 0
+            found.append((begin[whole], at[whole], self.score[node[whole]], self.piece[node[whole]]))
+            inside = at < stop[begin]
+            begin, at, node = begin[inside], at[inside], node[inside]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 class Pieces:
@@ -54,6 +100,7 @@ class Pieces:
         self.text_sizes = np.array(list(map(len, text)))
         self.text_starts = np.cumsum(self.text_sizes) - self.text_sizes
         self.text = np.frombuffer(b"".join(text), np.uint8)
+        self.trie = Trie(self.scores, self.ids)
         self.best = best
         self.clear()
 
@@ -118,6 +165,113 @@ class Pieces:
                 heapq.heappush(agenda, (-(back + total), made, b, 0, back + total - front[b], suffix))
         return out
 
+    def together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of many units the ids of the best segmentation, flat and counted, and the ``best`` scores (-inf beyond the last).
+
+        The search of ``segmentations``, one step of all units at a time: the agenda is a row a unit in the
+        order of its entries' making, of which equal scores leave the first one first.
+        """
+        count = len(units)
+        sizes = np.fromiter(map(len, units), np.int64, count)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        owner = np.repeat(np.arange(count), sizes)
+        begin, end, score, piece = self.trie.edges(self.trie.coded(points), ends[owner])
+        alone = np.ones(len(points), bool)
+        alone[begin[end == begin + 1]] = False
+        if len(b := np.flatnonzero(alone)):  # no piece: its bytes
+            width = 1 + (points[b] > 0x7F).astype(np.int64) + (points[b] > 0x7FF) + (points[b] > 0xFFFF)
+            begin, end = np.concatenate([begin, b]), np.concatenate([end, b + 1])
+            score, piece = np.concatenate([score, self.low * width]), np.concatenate([piece, np.full(len(b), -1)])
+
+        # Viterbi from the front, by offset of the end in its unit. Places count one more a unit, for its end.
+        unit = owner[begin]
+        offset = end - starts[unit]
+        order = np.lexsort((end, offset))
+        begin, end, score, piece, unit, offset = (x[order] for x in (begin, end, score, piece, unit, offset))
+        front = np.zeros(len(points) + count)
+        source, target = begin + unit, end + unit
+        total = np.empty(len(begin))
+        bounds = np.searchsorted(offset, np.arange(1, offset[-1] + 2))
+        for a, z in zip(bounds, bounds[1:], strict=False):
+            total[a:z] = front[source[a:z]] + score[a:z]
+            into = target[a:z]
+            first = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
+            front[into[first]] = np.maximum.reduceat(total[a:z], first)
+
+        # Edges by end, best first; of equal ones the shorter first.
+        order = np.lexsort((-source, -total, target))
+        source, target, total, piece = source[order], target[order], total[order], piece[order]
+        places = np.arange(len(front) + 1)
+        first_edge = np.searchsorted(target, places)
+        tops = ends + np.arange(count)
+        bottoms = starts + np.arange(count)
+
+        scores = np.full((count, self.best), -np.inf)
+        done = np.zeros(count, np.int64)
+        agenda = np.full((count, 16), -np.inf)
+        edge, back, after = np.zeros((count, 16), np.int64), np.zeros((count, 16)), np.full((count, 16), -1)
+        agenda[:, 0], edge[:, 0] = front[tops], first_edge[tops]
+        made = np.ones(count, np.int64)
+        live = np.arange(count)
+        taken_edge, taken_after, nodes = [], [], 0
+        goal = np.full(count, -1)
+        while len(live):
+            slot = agenda[live].argmax(axis=1)
+            some = agenda[live, slot] > -np.inf
+            live, slot = live[some], slot[some]
+            if not len(live):
+                break
+            if made[live].max() + 2 > agenda.shape[1]:
+                grown = agenda.shape[1]
+                agenda, edge, back, after = (
+                    np.concatenate([x, np.full((count, grown), v, x.dtype)], axis=1) for x, v in ((agenda, -np.inf), (edge, 0), (back, 0), (after, -1))
+                )
+            e, so_far, suffix = edge[live, slot], back[live, slot], after[live, slot]
+            agenda[live, slot] = -np.inf
+            more = e + 1 < first_edge[target[e] + 1]
+            u, x = live[more], e[more] + 1
+            agenda[u, made[u]], edge[u, made[u]], back[u, made[u]], after[u, made[u]] = so_far[more] + total[x], x, so_far[more], suffix[more]
+            made[u] += 1
+            node = nodes + np.arange(len(live))
+            taken_edge.append(e)
+            taken_after.append(suffix)
+            nodes += len(live)
+            b = source[e]
+            full = b == bottoms[live]
+            u = live[full]
+            scores[u, done[u]] = so_far[full] + total[e[full]]
+            goal[u[done[u] == 0]] = node[full][done[u] == 0]
+            done[u] += 1
+            on = ~full
+            u, x, reached = live[on], e[on], b[on]
+            now = so_far[on] + total[x]
+            agenda[u, made[u]], edge[u, made[u]], back[u, made[u]], after[u, made[u]] = now, first_edge[reached], now - front[reached], node[on]
+            made[u] += 1
+            live = live[done[live] < self.best]
+
+        taken_edge, taken_after = np.concatenate(taken_edge), np.concatenate(taken_after)
+        steps, u, node = [], np.arange(count), goal
+        while len(u):
+            steps.append((u, taken_edge[node]))
+            node = taken_after[node]
+            u, node = u[node >= 0], node[node >= 0]
+        u, e = (np.concatenate(c) for c in zip(*steps, strict=True))
+        e = e[np.argsort(u, kind="stable")]
+        cuts = np.cumsum(np.bincount(u, minlength=count))
+        ids = piece[e]
+        sizes = np.bincount(u, minlength=count)
+        if len(odd := np.flatnonzero(ids < 0)):
+            chars = points[source[e[odd]] - np.repeat(np.arange(count), sizes)[odd]].tolist()
+            spelled = [[self.byte[x] for x in chr(c).encode()] for c in chars]
+            width = np.ones(len(ids), np.int64)
+            width[odd] = list(map(len, spelled))
+            ids = np.repeat(ids, width)
+            ids[ids < 0] = [x for w in spelled for x in w]
+            sizes = np.diff(np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], cuts])])
+        return ids, sizes, scores
+
     def units(self, text: str) -> list[str]:
         """A text without MARK, cut into units; the first has the space that is put before."""
         if "  " in text or text[0] == " " or text[-1] == " ":
@@ -125,18 +279,27 @@ class Pieces:
         return [u if u[:1] == "\n" else MARK + u for u in text.replace("\n", " \n").split(" ")]
 
     def learn(self, new: list[str]) -> None:
-        found = [self.segmentations(u) for u in new]
-        ids = [f[0][1] for f in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        gaps = np.full((len(new), self.best), np.inf)
-        for k, f in enumerate(found):
-            gaps[k, : len(f)] = [f[0][0] - s for s, _ in f]
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.int32)])
-        self.score = np.concatenate([self.score, [f[0][0] for f in found]])
-        self.gaps = np.concatenate([self.gaps, gaps])
+        """Adds units: short ones many at a time, others one by one."""
+        short = sorted((u for u in new if len(u) <= TOGETHER), key=len)
+        long = [u for u in new if len(u) > TOGETHER]
+        flat, sizes, scores = [self.flat], [], []
+        for k in range(0, len(short), STEP_UNITS):
+            i, n, s = self.together(short[k : k + STEP_UNITS])
+            flat.append(i.astype(np.int32))
+            sizes.append(n)
+            scores.append(s)
+        for u in long:
+            found = self.segmentations(u)
+            flat.append(np.array(found[0][1], np.int32))
+            sizes.append(np.array([len(found[0][1])]))
+            scores.append(np.array([[s for s, _ in found] + [-np.inf] * (self.best - len(found))]))
+        size, score = np.concatenate(sizes), np.concatenate(scores)
+        self.codes.update(zip(short + long, range(len(self.score), len(self.score) + len(new)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
+        self.sizes = np.concatenate([self.sizes, size])
+        self.flat = np.concatenate(flat)
+        self.score = np.concatenate([self.score, score[:, 0]])
+        self.gaps = np.concatenate([self.gaps, score[:, :1] - score])
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, float, list[float]]]:
         """Of each text the ids of its best segmentation, their score, and the scores of the N best."""
@@ -160,7 +323,8 @@ class Pieces:
             bounds.append(len(pieces))
         if new := list(set(pieces).difference(self.codes)):
             literal = "\0" + MARK
-            self.learn([u for u in new if u != literal])
+            if plain := [u for u in new if u != literal]:
+                self.learn(plain)
             if literal in new:
                 self.codes[literal] = len(self.score)
                 ids = np.array([self.byte[x] for x in MARK.encode()], np.int32)
