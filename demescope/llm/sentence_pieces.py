@@ -18,7 +18,7 @@ MARK = "▁"  # how pieces write a space
 FALLBACK = 10.0  # a byte's score lies this far below the lowest piece's
 CHUNK_BYTES = 1 << 20
 TOGETHER = 64  # units of at most so many characters are searched in step with others
-STEP_UNITS = 20_000
+STEP_UNITS = 5_000
 
 
 class Trie:
@@ -182,10 +182,10 @@ class Pieces:
         alone[begin[end == begin + 1]] = False
         if len(b := np.flatnonzero(alone)):  # no piece: its bytes
             width = 1 + (points[b] > 0x7F).astype(np.int64) + (points[b] > 0x7FF) + (points[b] > 0xFFFF)
-            begin, end = np.concatenate([begin, b]), np.concatenate([end, b + 1])
-            score, piece = np.concatenate([score, self.low * width]), np.concatenate([piece, np.full(len(b), -1)])
+            begin, end = np.concatenate([b, begin]), np.concatenate([b + 1, end])
+            score, piece = np.concatenate([self.low * width, score]), np.concatenate([np.full(len(b), -1), piece])
 
-        # Viterbi from the front, by offset of the end in its unit. Places count one more a unit, for its end.
+        # Viterbi from the front, by offset of the end in its unit; edges into an end stay in the order of length. Places count one more a unit, for its end.
         unit = owner[begin]
         offset = end - starts[unit]
         order = np.lexsort((end, offset))
@@ -201,36 +201,45 @@ class Pieces:
             front[into[first]] = np.maximum.reduceat(total[a:z], first)
 
         # Edges by end, best first; of equal ones the shorter first.
-        order = np.lexsort((-source, -total, target))
-        source, target, total, piece = source[order], target[order], total[order], piece[order]
-        places = np.arange(len(front) + 1)
-        first_edge = np.searchsorted(target, places)
+        firsts = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+        degree = np.diff(np.concatenate([firsts, [len(target)]]))
+        first_edge, last_edge = np.zeros(len(front), np.int64), np.zeros(len(front), np.int64)
+        first_edge[target[firsts]], last_edge[target[firsts]] = firsts, firsts + degree
+        rank, follow = np.zeros(len(target), np.int64), last_edge[target] - np.arange(len(target))
+        near = np.arange(len(target))
+        for ahead in range(1, int(degree.max())):
+            near = near[follow[near] > ahead]
+            better = total[near] >= total[near + ahead]
+            rank[near + ahead] += better
+            rank[near] += ~better
+        order = np.empty(len(target), np.int64)
+        order[first_edge[target] + rank] = np.arange(len(target))
+        source, total, piece = source[order], total[order], piece[order]
         tops = ends + np.arange(count)
         bottoms = starts + np.arange(count)
 
         scores = np.full((count, self.best), -np.inf)
         done = np.zeros(count, np.int64)
-        agenda = np.full((count, 16), -np.inf)
-        edge, back, after = np.zeros((count, 16), np.int64), np.zeros((count, 16)), np.full((count, 16), -1)
-        agenda[:, 0], edge[:, 0] = front[tops], first_edge[tops]
+        room = 64
+        agenda = np.full((count, room), -np.inf)
+        edge, back, after = np.empty((count, room), np.int64), np.empty((count, room)), np.empty((count, room), np.int64)
+        agenda[:, 0], edge[:, 0], back[:, 0], after[:, 0] = front[tops], first_edge[tops], 0.0, -1
         made = np.ones(count, np.int64)
         live = np.arange(count)
         taken_edge, taken_after, nodes = [], [], 0
         goal = np.full(count, -1)
         while len(live):
-            slot = agenda[live].argmax(axis=1)
+            most = int(made[live].max())
+            slot = agenda[live, :most].argmax(axis=1)
             some = agenda[live, slot] > -np.inf
             live, slot = live[some], slot[some]
             if not len(live):
                 break
-            if made[live].max() + 2 > agenda.shape[1]:
-                grown = agenda.shape[1]
-                agenda, edge, back, after = (
-                    np.concatenate([x, np.full((count, grown), v, x.dtype)], axis=1) for x, v in ((agenda, -np.inf), (edge, 0), (back, 0), (after, -1))
-                )
+            if most + 2 > agenda.shape[1]:
+                agenda, edge, back, after = (np.concatenate([x, np.full((count, room), -np.inf if x is agenda else 0, x.dtype)], axis=1) for x in (agenda, edge, back, after))
             e, so_far, suffix = edge[live, slot], back[live, slot], after[live, slot]
             agenda[live, slot] = -np.inf
-            more = e + 1 < first_edge[target[e] + 1]
+            more = e + 1 < last_edge[target[e]]
             u, x = live[more], e[more] + 1
             agenda[u, made[u]], edge[u, made[u]], back[u, made[u]], after[u, made[u]] = so_far[more] + total[x], x, so_far[more], suffix[more]
             made[u] += 1

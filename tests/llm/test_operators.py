@@ -362,6 +362,18 @@ def test_best_segmentations_equal_dynamic_programming():
     assert len({ids for _, ids in ranked}) == 6 and [s for s, _ in ranked] == sorted((s for s, _ in ranked), reverse=True)
 
 
+def test_searches_in_step_equal_single_ones():
+    coder, rng = sentence_pieces.Pieces(piece_model(), 3), random.Random(5)
+    units = ["▁", "▁▁▁▁", "▁日本語😀x", "😀", "\n", "ÿþ", "a" * 40, "▁" * 60, "▁" + "ab" * 40, "x" * 300]
+    units += sorted({"▁" + "".join(rng.choices("aeiounrst,.é", k=rng.randrange(1, 14))) for _ in range(400)})
+    coder.learn(units)
+    for u in units:
+        (score, ids), *others = coder.segmentations(u)
+        at = coder.codes[u]
+        assert tuple(coder.flat[coder.starts[at] :][: coder.sizes[at]].tolist()) == ids and coder.score[at] == score
+        assert coder.gaps[at].tolist() == [0.0, *(score - s for s, _ in others), *[np.inf] * (2 - len(others))]
+
+
 def test_encoding_round_trips(docs):
     texts = {1: None, 2: "", 3: "▁ x▁y", 4: "a\nb", 5: LONG[:300_000], 6: "a\nb", 7: "\u0000 nul"}
     got = {r["doc_id"]: r for r in sentence_pieces.encoded(docs(texts.items()), piece_model()).collect()}
