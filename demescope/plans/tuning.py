@@ -16,7 +16,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demescope.operators import classify, cluster, reduce, reshape
+from demescope.operators import classify, cluster, qc, reduce, reshape
 from demescope.operators.contingency import agreement, confusion
 from demescope.plans.quality import MAX_BP, Cohort
 from demescope.session import cut_lineage, held
@@ -34,15 +34,16 @@ class Tuning:
     best: dict
 
 
-def _cells(cohort: Cohort, maf: Sequence[Range], ld: Sequence[float], npc: Sequence[int], max_bp: int, method: str) -> Iterable:
+def _cells(cohort: Cohort, maf: Sequence[Range], ld: Sequence[float], npc: Sequence[int], max_bp: int, method: str, missing_rate: float) -> Iterable:
     """Yields ``(setting, labelled components)`` in grid order: frequency range, threshold, count."""
     admitted = F.lit(False)
     for low, high in maf:
         admitted = admitted | ((F.col("maf") > low) & (F.col("maf") < high))
-    pairs = cohort.pairs(cohort.variants.filter(admitted), method, max_bp)
+    called = qc.enough_calls(F.col("nonmissing"), F.col("n_samples"), missing_rate)
+    pairs = cohort.pairs(cohort.variants.filter(admitted & called), method, max_bp)
     number = itertools.count()
     for low, high in maf:
-        snps = cohort.chosen(low, high)
+        snps = cohort.chosen(low, high, missing_rate)
         for threshold in ld:
             kept = cohort.pruned(snps, pairs, threshold)
             scores, _ = reduce.sample_pca(cohort.restrict(cut_lineage(kept)), max(npc))
@@ -51,10 +52,10 @@ def _cells(cohort: Cohort, maf: Sequence[Range], ld: Sequence[float], npc: Seque
                 yield (next(number), low, high, float(threshold), k), reshape.slice_vector(full, k)
 
 
-def _grid(cohort: Cohort, maf, ld, npc, algorithms, score: Callable, columns: str, max_bp: int, method: str, parallelism: int) -> DataFrame:
+def _grid(cohort: Cohort, maf, ld, npc, algorithms, score: Callable, columns: str, max_bp: int, method: str, missing_rate: float, parallelism: int) -> DataFrame:
     rows = []
     with ThreadPoolExecutor(parallelism) as pool:
-        for setting, frame in _cells(cohort, maf, ld, npc, max_bp, method):
+        for setting, frame in _cells(cohort, maf, ld, npc, max_bp, method, missing_rate):
             # The estimators of a cell share its rows and run side by side.
             with held(frame) as rows_:
                 run = inheritable_thread_target(lambda name, rows_=rows_: score(rows_, name))
@@ -73,15 +74,19 @@ def tune_clusters(
     n_clusters: int = 5,
     max_bp: int = MAX_BP,
     method: str = "composite",
+    missing_rate: float = 0.0,
     parallelism: int = 3,
 ) -> Tuning:
-    """Adjusted Rand index (percent) of each algorithm at each setting; the highest wins."""
+    """Adjusted Rand index (percent) of each algorithm at each setting; the highest wins.
+
+    Variants with more than ``missing_rate`` of their calls missing are left out, by default any missing one.
+    """
 
     def score(frame: DataFrame, name: str):
         found = cluster.TUNED[name](frame, n_clusters)
         return (round(agreement(confusion(found, "region", "prediction")).first()["ari"], 2),)
 
-    scores = _grid(cohort, maf, ld, npc, algorithms, score, "ari double", max_bp, method, parallelism)
+    scores = _grid(cohort, maf, ld, npc, algorithms, score, "ari double", max_bp, method, missing_rate, parallelism)
     return Tuning(scores, best_by_score(scores))
 
 
@@ -94,19 +99,23 @@ def tune_classifiers(
     train_share: float = 0.67,
     max_bp: int = MAX_BP,
     method: str = "composite",
+    missing_rate: float = 0.0,
     parallelism: int = 3,
     start: tuple[float, float] = (200.0, 100.0),
     seed: int = 1234,
     **options,
 ) -> Tuning:
-    """Train and test error (percent) of each algorithm at each setting; see ``best_by_gap``."""
+    """Train and test error (percent) of each algorithm at each setting; see ``best_by_gap``.
+
+    ``missing_rate`` as in ``tune_clusters``.
+    """
 
     def score(frame: DataFrame, name: str):
         row = classify.train_test_errors(frame, [name], train_share, seed, **options).first()
         return round(row["train_error"], 2), round(row["test_error"], 2)
 
     columns = "train_error double, test_error double"
-    scores = _grid(cohort, maf, ld, npc, algorithms, score, columns, max_bp, method, parallelism)
+    scores = _grid(cohort, maf, ld, npc, algorithms, score, columns, max_bp, method, missing_rate, parallelism)
     return Tuning(scores, best_by_gap(scores, *start))
 
 

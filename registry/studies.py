@@ -113,8 +113,8 @@ def searched(name, run):
     query(name)(lambda spark, sf: run(cohort(spark, sf)).scores.drop("cell"))
 
 
-_C = {"max_bp": MAX_BP}
-_K = {"max_bp": MAX_BP, "trees": 20, "folds": 2}
+_C = {"max_bp": MAX_BP, "missing_rate": 1.0}
+_K = {"max_bp": MAX_BP, "missing_rate": 1.0, "trees": 20, "folds": 2}
 searched("tune_maf", lambda c: tuning.tune_maf(c, RANGES, **_C))
 searched("tune_ld", lambda c: tuning.tune_ld(c, RANGES[0], THRESHOLDS, **_C))
 searched("tune_npc", lambda c: tuning.tune_npc(c, RANGES[0], (3, 4), **_C))

@@ -16,14 +16,15 @@ def cohort(spark, cells):
     return quality.Cohort.of(df.drop("snp_idx", "sample_no"), panel)
 
 
-def test_shared_tuner_equals_cell_by_cell(cohort):
+@pytest.mark.parametrize("rate", [1.0, 0.1])
+def test_shared_tuner_equals_cell_by_cell(cohort, rate):
     maf, ld_set, npc = ((0.05, 0.51), (0.2, 0.5)), (0.4,), (2, 3)
-    found = tuning.tune_maf_ld_npc(cohort, maf, ld_set, npc, max_bp=5000, n_clusters=2)
+    found = tuning.tune_maf_ld_npc(cohort, maf, ld_set, npc, max_bp=5000, n_clusters=2, missing_rate=rate)
     got = {(r["min_maf"], r["ld"], r["npc"]): r["ari"] for r in found.scores.collect()}
     assert len(got) == 4
     for low, high in maf:
         for threshold in ld_set:
-            snps = cohort.chosen(low, high)
+            snps = cohort.chosen(low, high, rate)
             pairs = ld.ld_pairs(cohort.restrict(snps), "composite", 5000)
             kept = cohort.restrict(ld.ld_prune(pairs, snps, threshold))
             for k in npc:
