@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -123,6 +124,16 @@ class Network:
         pooled = (w[:, :, None] * states).sum(axis=0)
         return pooled @ self.p["o"] + self.p["bias"][0], (u, w, pooled)
 
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, words=self.words, **{"p_" + k: v for k, v in self.p.items()})
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Network:
+        held = np.load(io.BytesIO(data))
+        return cls(held["words"], {k[2:]: held[k] for k in held.files if k.startswith("p_")})
+
     def logits(self, forward: np.ndarray, backward: np.ndarray, mask: np.ndarray) -> np.ndarray:
         states = np.concatenate([self.recur(forward, mask, "f"), self.recur(backward, mask, "b")], axis=2)
         return self.pool(states, mask)[0]
@@ -292,8 +303,8 @@ class Scorer:
         return _sigmoid(best)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[int], float]:
-    """Texts, labels and the share of label 1 among all such rows: at most ``rows`` texts of either label, the first by a hash of doc_id, whose crc32 modulo 5 is not 0.
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES) -> tuple[DataFrame, float]:
+    """(doc_id, toxic, text) and the share of label 1 among all such rows: at most ``rows`` texts of either label, the first by a hash of doc_id, whose crc32 modulo 5 is not 0.
 
     A text of more than ``text_bytes`` gives evenly spread windows of that many bytes in all.
     """
@@ -315,9 +326,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, te
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample[0].union(sample[1])), "doc_id")
     texts = texts.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int"), F.coalesce("text", F.lit("")).alias("text"))
-    got = texts.mapInArrow(spread, "doc_id bigint, toxic int, text string").collect()
-    got = sorted((r["doc_id"], r["toxic"], r["text"]) for r in got)
-    return [r[2] for r in got], [r[1] for r in got], share
+    return texts.mapInArrow(spread, "doc_id bigint, toxic int, text string"), share
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> bytes | float:
+    """The network trained by one task on ``training_rows``, as bytes; a number where they don't have both labels.
+
+    The sample is bounded, so the task is too; the driver sees the weights alone.
+    """
+    texts, share = training_rows(docs, labels)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        marks = [r[1] for r in got]
+        both = len(set(marks)) == 2
+        net = train([r[2] for r in got], marks, share).to_bytes() if both else None
+        only = float(marks[0]) if marks and not both else 0.0
+        yield pa.RecordBatch.from_arrays([pa.array([net], pa.binary()), pa.array([only])], names=["net", "only"])
+
+    row = texts.repartition(1).mapInArrow(learn, "net binary, only double").first()
+    return 0.0 if row is None else row["only"] if row["net"] is None else bytes(row["net"])
 
 
 CHUNK_BYTES = 1 << 20
@@ -326,22 +354,22 @@ CHUNK_BYTES = 1 << 20
 def with_scores(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of every row and ``score``: 0 to 1, higher where ``labels.toxic`` is likelier 1.
 
-    The network is fitted on the driver to a bounded sample (``training_rows``) and sent to the tasks, which
+    The network is fitted by one task to a bounded sample (``training_rows``) and sent to the others, which
     score all windows of ``WINDOW`` words, ``STRIDE`` apart, of every whole text; a document's score is its
     highest window's. Only the text counts. Null and blank texts get the score of no evidence. Where the
     sample lacks a label, every score is the sample's share of label 1 (0 without a sample). A column named
     score is replaced.
     """
-    texts, marks, share = training_rows(docs, labels)
+    net = fitted(docs, labels)
     names = [c for c in columns if c != "score"]
-    if len(set(marks)) < 2:
-        return docs.select(*names, F.lit(float(marks[0]) if marks else 0.0).alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(train(texts, marks, share))
+    if isinstance(net, float):
+        return docs.select(*names, F.lit(net).alias("score"))
+    sent = docs.sparkSession.sparkContext.broadcast(net)
     source = docs.select(*[c for c in names if c != "text"], "text")
     schema = StructType([source.schema[n] for n in names] + [StructField("score", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(Network.from_bytes(sent.value))
         for batch in batches:
             text = batch.column("text")
             offsets = column_bytes(text)[1]
