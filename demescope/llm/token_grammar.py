@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,14 @@ def from_bytes(row: dict[str, bytes]) -> dict[str, np.ndarray]:
     return g
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE file, looking each distinct piece between spaces up once.
 
@@ -166,43 +175,57 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.gap = self.model.encode("\n\n", add_special_tokens=False).ids
-        self.odd = re.compile(r"\s(?:\s|\Z)|\A\s")
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.codes = Numbers()
+        self.flat = np.zeros(0, np.int32)
+        self.starts, self.sizes, self.marks = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        """Adds pieces. Those that start with a space are encoded many at a time, parted by empty lines."""
-        spaced, others = [], []
-        for p in new:
-            (others if p[0] in "\n\t" or len(self.gap) != 1 else spaced).append(p)
-        ids: list[np.ndarray] = []
+        """Adds pieces, in this order. Those that follow a space are encoded many at a time, parted by empty lines.
+
+        The mark of a piece is 1 if it begins a text, 0 elsewhere, and 2 if white space stands where the
+        pre-tokeniser may not cut. So the marks of a text that can be encoded by pieces add up to 1.
+        """
+        starts, sizes, marks = (np.zeros(len(new), np.int64) for _ in range(3))
+        spaced, others, parts, end = [], [], [], len(self.flat)
+        for k, p in enumerate(new):
+            body = p[1:] if p[:1] in ("\n", "\t") else p
+            if not body or (not body.isalnum() and " ".join(body.split()) != re.sub(r"\s", " ", body)):
+                marks[k] = 2
+            elif body is p and len(self.gap) == 1:
+                spaced.append(k)
+            else:
+                others.append(k)
+                marks[k] = p[0] == "\t"
         groups = [spaced[i : i + 500] for i in range(0, len(spaced), 500)]
-        for group, got in zip(groups, self.whole([" " + "\n\n ".join(g) for g in groups]), strict=True):
+        for group, got in zip(groups, self.whole([" " + "\n\n ".join([new[k] for k in g]) for g in groups]), strict=True):
             cuts = np.flatnonzero(got == self.gap[0])
             if len(cuts) != len(group) - 1:
-                ids += self.whole([" " + p for p in group])
-            else:
-                ids += [got[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(got)], strict=True)]
-        ids += self.whole([p[1:] if p[0] == "\t" else p if p[0] == "\n" else " " + p for p in others])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.codes.update(zip(spaced + others, range(len(self.codes), len(self.codes) + len(ids)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *ids])
+                others += group
+                continue
+            begins = np.concatenate([[0], cuts + 1])
+            starts[group], sizes[group] = end + begins, np.concatenate([cuts, [len(got)]]) - begins
+            parts.append(got)
+            end += len(got)
+        for k, got in zip(others, self.whole([p[1:] if p[0] == "\t" else p if p[0] == "\n" else " " + p for p in (new[k] for k in others)]), strict=True):
+            starts[k], sizes[k] = end, len(got)
+            parts.append(got)
+            end += len(got)
+        self.starts, self.sizes, self.marks = (np.concatenate(x) for x in ((self.starts, starts), (self.sizes, sizes), (self.marks, marks)))
+        self.flat = np.concatenate([self.flat, *parts])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         pieces, bounds, plain = [], [0], []
         for i, t in enumerate(texts):
             if not t:
-                out[i] = np.zeros(0, np.int64)
-            elif self.odd.search(t):
+                out[i] = np.zeros(0, np.int32)
+            elif "  " in t or "\n\n" in t:
                 out[i] = self.whole([t])[0]
             else:
                 plain.append(i)
@@ -212,14 +235,16 @@ class Encoder:
             return out
         if len(self.codes) > self.PIECES:
             self.clear()
-        if new := list(set(pieces).difference(self.codes)):
-            self.learn(new)
+        known = len(self.codes)
         codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.codes) > known:
+            self.learn(list(islice(self.codes, known, None)))
         sizes = self.sizes[codes]
         through = np.concatenate([[0], np.cumsum(sizes)])
+        marks = np.add.reduceat(self.marks[codes], bounds[:-1])
         ids = self.flat[np.arange(through[-1]) + np.repeat(self.starts[codes] - through[:-1], sizes)]
-        for i, a, b in zip(plain, bounds, bounds[1:], strict=False):
-            out[i] = ids[through[a] : through[b]]
+        for i, a, b, mark in zip(plain, bounds, bounds[1:], marks, strict=False):
+            out[i] = ids[through[a] : through[b]] if mark == 1 else self.whole([texts[i]])[0]
         return out
 
 

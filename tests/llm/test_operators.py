@@ -14,6 +14,7 @@ import pytest
 from demescope.llm import decontaminate, jaccard_join, line_dedup, sentence_pieces, token_grammar, toxicity, transcripts, url_filter, warc
 from demescope.llm.common import components
 from demescope.llm.exact_dedup import exact_duplicates
+from demescope.llm.queries import TOKENIZER, tokenizer_file
 from demescope.session import scratch_path
 
 LONG = "word " * 300_000
@@ -381,3 +382,11 @@ def test_encoding_round_trips(docs):
     assert got[1]["n_tokens"] == 0 and got[4]["ids"] == got[6]["ids"]
     assert got[4]["ids_crc32"] == zlib.crc32(np.array(got[4]["ids"], "<u4").tobytes())
     assert sentence_pieces.encoded(docs([]), piece_model()).count() == 0
+
+
+def test_encoder_equals_the_library_around_white_space():
+    encode = token_grammar.Encoder(tokenizer_file(TOKENIZER))
+    texts = ["a  b", "a \n b", "\n", "\t", "\ta b", "a\tb c", "a \tb", " x y", "x y z", " a", "a ", "a\n", "\na", "a\nb", "a\n\nb", "a\r\nb", "a b, c.\nd", "　", "a \x1cb", "a\n\tb", "a \t", "", "<|endoftext|> a"]
+    for _ in range(2):  # pieces met before and pieces that are new
+        for text, got in zip(texts, encode(texts), strict=True):
+            assert got.tolist() == encode.model.encode(text, add_special_tokens=False).ids, repr(text)
