@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the ids of the best segmentation, its scores and the checks of ``encoded``."""
+    """doc_id, the ids and scores of the best segmentations and the checks of ``encoded``."""
     return encoded(docs, tokenizer_file(PIECE_MODEL))
 
 

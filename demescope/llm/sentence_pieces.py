@@ -106,10 +106,20 @@ class Pieces:
 
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+        self.begins, self.counts = np.zeros((0, self.best), np.int64), np.zeros((0, self.best), np.int64)
         self.score = np.zeros(0)
         self.gaps = np.zeros((0, self.best))
 
+    @property
+    def starts(self) -> np.ndarray:
+        """Where the ids of each unit's best segmentation begin in ``flat``."""
+        return self.begins[:, 0]
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return self.counts[:, 0]
+
     def edges(self, unit: str) -> tuple[list[float], list[list[tuple[float, int]]]]:
         """Viterbi scores from the front, and for each end its edges: (best score up to the end, begin)."""
         n, get, reach = len(unit), self.scores.get, self.reach.get
@@ -166,7 +176,7 @@ class Pieces:
         return out
 
     def together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of many units the ids of the best segmentation, flat and counted, and the ``best`` scores (-inf beyond the last).
+        """Of many units the ids of the ``best`` segmentations, flat and counted, and their scores (-inf beyond the last).
 
         The search of ``segmentations``, one step of all units at a time: the agenda is a row a unit in the
         order of its entries' making, of which equal scores leave the first one first.
@@ -227,7 +237,7 @@ class Pieces:
         made = np.ones(count, np.int64)
         live = np.arange(count)
         taken_edge, taken_after, nodes = [], [], 0
-        goal = np.full(count, -1)
+        goal = np.full((count, self.best), -1)
         while len(live):
             most = int(made[live].max())
             slot = agenda[live, :most].argmax(axis=1)
@@ -251,7 +261,7 @@ class Pieces:
             full = b == bottoms[live]
             u = live[full]
             scores[u, done[u]] = so_far[full] + total[e[full]]
-            goal[u[done[u] == 0]] = node[full][done[u] == 0]
+            goal[u, done[u]] = node[full]
             done[u] += 1
             on = ~full
             u, x, reached = live[on], e[on], b[on]
@@ -261,25 +271,27 @@ class Pieces:
             live = live[done[live] < self.best]
 
         taken_edge, taken_after = np.concatenate(taken_edge), np.concatenate(taken_after)
-        steps, u, node = [], np.arange(count), goal
-        while len(u):
-            steps.append((u, taken_edge[node]))
+        # A row is one segmentation: unit times ``best`` plus rank.
+        steps, row = [], np.flatnonzero(goal.ravel() >= 0)
+        node = goal.ravel()[row]
+        while len(row):
+            steps.append((row, taken_edge[node]))
             node = taken_after[node]
-            u, node = u[node >= 0], node[node >= 0]
-        u, e = (np.concatenate(c) for c in zip(*steps, strict=True))
-        e = e[np.argsort(u, kind="stable")]
-        cuts = np.cumsum(np.bincount(u, minlength=count))
+            row, node = row[node >= 0], node[node >= 0]
+        row, e = (np.concatenate(c) for c in zip(*steps, strict=True))
+        e = e[np.argsort(row, kind="stable")]
+        sizes = np.bincount(row, minlength=count * self.best)
+        cuts = np.cumsum(sizes)
         ids = piece[e]
-        sizes = np.bincount(u, minlength=count)
         if len(odd := np.flatnonzero(ids < 0)):
-            chars = points[source[e[odd]] - np.repeat(np.arange(count), sizes)[odd]].tolist()
+            chars = points[source[e[odd]] - np.repeat(np.arange(count * self.best) // self.best, sizes)[odd]].tolist()
             spelled = [[self.byte[x] for x in chr(c).encode()] for c in chars]
             width = np.ones(len(ids), np.int64)
             width[odd] = list(map(len, spelled))
             ids = np.repeat(ids, width)
             ids[ids < 0] = [x for w in spelled for x in w]
             sizes = np.diff(np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], cuts])])
-        return ids, sizes, scores
+        return ids, sizes.reshape(count, self.best), scores
 
     def units(self, text: str) -> list[str]:
         """A text without MARK, cut into units; the first has the space that is put before."""
@@ -299,19 +311,24 @@ class Pieces:
             scores.append(s)
         for u in long:
             found = self.segmentations(u)
-            flat.append(np.array(found[0][1], np.int32))
-            sizes.append(np.array([len(found[0][1])]))
+            flat += [np.array(ids, np.int32) for _, ids in found]
+            sizes.append(np.array([[len(ids) for _, ids in found] + [0] * (self.best - len(found))]))
             scores.append(np.array([[s for s, _ in found] + [-np.inf] * (self.best - len(found))]))
         size, score = np.concatenate(sizes), np.concatenate(scores)
         self.codes.update(zip(short + long, range(len(self.score), len(self.score) + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
-        self.sizes = np.concatenate([self.sizes, size])
+        self.begins = np.concatenate([self.begins, len(self.flat) + (np.cumsum(size) - size.ravel()).reshape(size.shape)])
+        self.counts = np.concatenate([self.counts, size])
         self.flat = np.concatenate(flat)
         self.score = np.concatenate([self.score, score[:, 0]])
         self.gaps = np.concatenate([self.gaps, score[:, :1] - score])
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, float, list[float]]]:
         """Of each text the ids of its best segmentation, their score, and the scores of the N best."""
+        for ranked in self.ranked(texts):
+            yield ranked[0][1], ranked[0][0], [s for s, _ in ranked]
+
+    def ranked(self, texts: list[str]) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """Of each text the score and ids of its N best segmentations, highest score first."""
         if len(self.codes) > self.UNITS:
             self.clear()
         pieces, bounds = [], [0]
@@ -337,7 +354,8 @@ class Pieces:
             if literal in new:
                 self.codes[literal] = len(self.score)
                 ids = np.array([self.byte[x] for x in MARK.encode()], np.int32)
-                self.starts, self.sizes = np.append(self.starts, len(self.flat)), np.append(self.sizes, 3)
+                self.begins = np.concatenate([self.begins, np.full((1, self.best), len(self.flat))])
+                self.counts = np.concatenate([self.counts, [[3] + [0] * (self.best - 1)]])
                 self.flat, self.score = np.concatenate([self.flat, ids]), np.append(self.score, 3 * self.low)
                 self.gaps = np.concatenate([self.gaps, [[0.0] + [np.inf] * (self.best - 1)]])
         codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
@@ -347,17 +365,30 @@ class Pieces:
         totals = np.concatenate([[0], np.cumsum(self.score[codes])])
         for a, b in zip(bounds, bounds[1:], strict=False):
             score = float(totals[b] - totals[a])
-            yield ids[through[a] : through[b]], score, [score - g for g in self.least_sums(codes[a:b])]
-
-    def least_sums(self, codes: np.ndarray) -> list[float]:
-        """The N least sums of one gap per unit: only the units with the least second gaps can be in them."""
+            out = []
+            for gap, changes in self.least_sums(codes[a:b]):
+                parts, at = [], through[a]
+                for k, rank in sorted(changes):
+                    begin, count = self.begins[codes[a + k], rank], self.counts[codes[a + k], rank]
+                    parts += [ids[at : through[a + k]], self.flat[begin : begin + count]]
+                    at = through[a + k + 1]
+                rest = ids[at : through[b]]
+                out.append((score - gap, np.concatenate([*parts, rest]) if parts else rest))
+            yield out
+
+    def least_sums(self, codes: np.ndarray) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+        """The N least sums of one gap per unit, each with the (place, rank) of the units that don't take their best.
+
+        Only the units with the least second gaps can be among these.
+        """
         if self.best == 1 or not len(codes):
-            return [0.0]
+            return [(0.0, ())]
         second = self.gaps[codes, 1]
         near = np.argpartition(second, self.best - 2)[: self.best - 1] if len(codes) > self.best - 1 else np.arange(len(codes))
-        sums = [0.0]
-        for row in self.gaps[codes[near]]:
-            sums = sorted(a + b for a in sums for b in row[np.isfinite(row)])[: self.best]
+        sums: list = [(0.0, ())]
+        for k, row in zip(near.tolist(), self.gaps[codes[near]].tolist(), strict=True):
+            ways = [(gap, ((k, rank),) if rank else ()) for rank, gap in enumerate(row) if gap < np.inf]
+            sums = sorted(((a + b, x + y) for a, x in sums for b, y in ways), key=lambda s: s[0])[: self.best]
         return sums
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -378,13 +409,14 @@ def pieces(path: str, best: int) -> Pieces:
 
 
 def encoded(docs: DataFrame, model: str, best: int = 3, ids: bool = True) -> DataFrame:
-    """doc_id, ids, n_tokens, ids_crc32, score, nbest_scores, round_trip of every row.
+    """doc_id, ids, n_tokens, ids_crc32, score, nbest_scores, round_trip, nbest of every row.
 
     ids are those of the best segmentation by summed piece scores, ids_crc32 the checksum of them as
     little-endian 32-bit integers, nbest_scores the scores of the ``best`` segmentations (fewer if there are
-    fewer), highest first; round_trip says that decoding the ids gives back the text. Whole texts are
+    fewer), highest first; round_trip says that decoding the ids gives back the text. nbest has score, ids,
+    n_tokens, ids_crc32 and round_trip of each of the ``best`` segmentations in that order. Whole texts are
     segmented, whatever their length. Null and empty texts have no tokens and score 0; repeated rows give
-    repeated results; other columns are ignored. ``ids=False`` leaves the column out.
+    repeated results; other columns are ignored. ``ids=False`` leaves the ids out, also those in nbest.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,20 +427,35 @@ def encoded(docs: DataFrame, model: str, best: int = 3, ids: bool = True) -> Dat
             while row < batch.num_rows:
                 to = min(batch.num_rows, max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1))
                 texts = [t or "" for t in batch.column(1).slice(row, to - row).to_pylist()]
-                got = list(coder(texts))
+                got = list(coder.ranked(texts))
+                firsts = np.concatenate([[0], np.cumsum([len(g) for g in got])])
+                found = [(score, x, t) for g, t in zip(got, map(str.encode, texts), strict=True) for score, x in g]
+                each = {
+                    "score": pa.array([score for score, _, _ in found], pa.float64()),
+                    "ids": pa.array([x for _, x, _ in found], pa.list_(pa.int32())) if ids else None,
+                    "n_tokens": pa.array([len(x) for _, x, _ in found], pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for _, x, _ in found], pa.int64()),
+                    "round_trip": pa.array([coder.decode(x) == t for _, x, t in found], pa.bool_()),
+                }
+                each = {k: v for k, v in each.items() if v is not None}
+                best_of = {k: v.take(pa.array(firsts[:-1])) for k, v in each.items()}
+                offsets_of = pa.array(firsts, pa.int32())
                 columns = {
                     "doc_id": batch.column(0).slice(row, to - row),
-                    "ids": pa.array([g[0] for g in got], pa.list_(pa.int32())) if ids else None,
-                    "n_tokens": pa.array([len(g[0]) for g in got], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(g[0].astype("<u4").tobytes()) for g in got], pa.int64()),
-                    "score": pa.array([g[1] for g in got]),
-                    "nbest_scores": pa.array([g[2] for g in got], pa.list_(pa.float64())),
-                    "round_trip": pa.array([coder.decode(g[0]) == t.encode() for g, t in zip(got, texts, strict=True)]),
+                    "ids": best_of.get("ids"),
+                    "n_tokens": best_of["n_tokens"],
+                    "ids_crc32": best_of["ids_crc32"],
+                    "score": best_of["score"],
+                    "nbest_scores": pa.ListArray.from_arrays(offsets_of, each["score"]),
+                    "round_trip": best_of["round_trip"],
+                    "nbest": pa.ListArray.from_arrays(offsets_of, pa.StructArray.from_arrays(list(each.values()), list(each))),
                 }
                 yield pa.RecordBatch.from_pydict({k: v for k, v in columns.items() if v is not None})
                 row = to
 
     kept = "ids array<int>, " if ids else ""
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        encode, f"doc_id bigint, {kept}n_tokens bigint, ids_crc32 bigint, score double, nbest_scores array<double>, round_trip boolean"
+        encode,
+        f"doc_id bigint, {kept}n_tokens bigint, ids_crc32 bigint, score double, nbest_scores array<double>, round_trip boolean, "
+        f"nbest array<struct<score:double, {kept.replace(' ', ':', 1)}n_tokens:bigint, ids_crc32:bigint, round_trip:boolean>>",
     )

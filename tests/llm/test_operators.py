@@ -390,3 +390,41 @@ def test_encoder_equals_the_library_around_white_space():
     for _ in range(2):  # pieces met before and pieces that are new
         for text, got in zip(texts, encode(texts), strict=True):
             assert got.tolist() == encode.model.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_every_segmentation_of_the_best_comes_out(docs):
+    coder, rng = sentence_pieces.Pieces(piece_model(), 3), random.Random(9)
+    units = ["▁", "▁日本語😀x", "▁" * 60, "▁" + "ab" * 40] + sorted({"▁" + "".join(rng.choices("aeinrst.é", k=rng.randrange(1, 12))) for _ in range(200)})
+    coder.learn(units)
+    for u in units:
+        at = coder.codes[u]
+        got = [tuple(coder.flat[b : b + n].tolist()) for b, n in zip(coder.begins[at], coder.counts[at], strict=True) if n]
+        assert got == [ids for _, ids in coder.segmentations(u)]
+
+    def plain(text):
+        full = sentence_pieces.MARK + text.replace(" ", sentence_pieces.MARK)
+        best = [[(0.0, ())]]
+        for e in range(1, len(full) + 1):
+            ways = []
+            for b in range(max(0, e - 20), e):
+                p = full[b:e]
+                own = p in coder.scores
+                if own or e == b + 1:
+                    s, i = (coder.scores[p], (coder.ids[p],)) if own else (coder.low * len(p.encode()), tuple(coder.byte[x] for x in p.encode()))
+                    ways += [(x + s, ids + i) for x, ids in best[b]]
+            best.append(sorted(ways, reverse=True)[:8])
+        return best[-1]
+
+    texts = dict(enumerate(["hello world", "a  b", " lead", "x\ny z", "日本 é", "aaaaaaaa bbb unbelievable", "", None, "k"]))
+    got = {r["doc_id"]: r for r in sentence_pieces.encoded(docs(texts.items()), piece_model()).collect()}
+    for k, text in texts.items():
+        want = {ids: s for s, ids in plain(text)} if text else {(): 0.0}
+        nbest = got[k]["nbest"]
+        assert [n["score"] for n in nbest] == got[k]["nbest_scores"] == pytest.approx(sorted(want.values(), reverse=True)[:3])
+        assert nbest[0]["ids"] == got[k]["ids"] and len({tuple(n["ids"]) for n in nbest}) == len(nbest)
+        for n in nbest:
+            assert n["score"] == pytest.approx(want[tuple(n["ids"])]) and n["round_trip"] and n["n_tokens"] == len(n["ids"])
+            assert n["ids_crc32"] == zlib.crc32(np.array(n["ids"], "<u4").tobytes())
+    assert len(got[0]["nbest"]) == 3
+    brief = sentence_pieces.encoded(docs(texts.items()), piece_model(), ids=False)
+    assert {r["doc_id"]: [n["ids_crc32"] for n in r["nbest"]] for r in brief.collect()} == {k: [n["ids_crc32"] for n in r["nbest"]] for k, r in got.items()}
