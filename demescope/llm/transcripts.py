@@ -200,14 +200,19 @@ def rendered(parts: DataFrame, model: Model, key: str = "conv_id", order: str =
     lines that open turns. So the texts of a key, joined by line feeds in their order, are its canonical
     turns, and a turn may run on over any number of parts.
 
-    A null text is an empty line; a null key is a transcript of its own; parts without order are left out;
-    of parts that share key and order the longest stays, then the last by text; other columns are ignored.
+    Every part gives one row. A null text is an empty line; each part with a null key is a transcript of its
+    own; parts without order come last in their transcript; parts that share key and order follow one another
+    by a hash of the text, then by the text; other columns are ignored.
     """
-    kept = parts.filter(F.col(order).isNotNull())
-    rows = kept.select(F.col(key).alias("given"), F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("key", F.lit("null"))).withColumn("features", _features())
-    grouped = rows.groupBy("key", "at").agg(F.max_by("text", F.struct(F.length("text"), F.col("text"))).alias("text"), F.max_by("features", F.struct(F.length("text"), F.col("text"))).alias("features"), F.first("given").alias("given"))
-    grouped = cut_lineage(grouped)
+    rows = parts.select(F.col(key).alias("given"), F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("given_at"), F.coalesce("text", F.lit("")).alias("text"))
+    # Places ascend over the range partitions, so a transcript of any length is no group; the hash parts those of one order.
+    by = ["key", F.col("given_at").asc_nulls_last(), "tie"]
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks, *by).sortWithinPartitions(*by, "text")
+    placed = dealt.withColumn("at", F.monotonically_increasing_id())
+    # A letter before the key keeps given keys and those made for null keys apart.
+    made = F.when(F.col("key").isNull(), F.concat(F.lit("n"), F.col("at").cast("string"))).otherwise(F.concat(F.lit("k"), "key"))
+    grouped = cut_lineage(placed.select("given", "given_at", made.alias("key"), "at", "text", _features().alias("features")))
     states = line_states(grouped.select("key", "at", "features"), model)
     bounds = grouped.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     role_of = F.array(*[F.lit(r) for r in ROLES])
@@ -224,7 +229,7 @@ def rendered(parts: DataFrame, model: Model, key: str = "conv_id", order: str =
     body = F.array_join(F.transform(lines, lambda x, k: one(x["line"], x["state"], k)), "\n")
     text = F.concat(body, F.when(F.col("at") == F.col("hi"), "\n<|im_end|>").otherwise(""))
     roles = F.transform("states", lambda s: role_of[(s / 2).cast("int")])
-    return joined.select(F.col("given").alias(key), F.col("at").alias(order), roles.alias("roles"), F.size(F.filter("states", lambda s: s % 2 == 0)).alias("opened"), text.alias("text"))
+    return joined.select(F.col("given").alias(key), F.col("given_at").alias(order), roles.alias("roles"), F.size(F.filter("states", lambda s: s % 2 == 0)).alias("opened"), text.alias("text"))
 
 
 def raw_transcripts(turns: DataFrame) -> DataFrame:

@@ -428,3 +428,23 @@ def test_every_segmentation_of_the_best_comes_out(docs):
     assert len(got[0]["nbest"]) == 3
     brief = sentence_pieces.encoded(docs(texts.items()), piece_model(), ids=False)
     assert {r["doc_id"]: [n["ids_crc32"] for n in r["nbest"]] for r in brief.collect()} == {k: [n["ids_crc32"] for n in r["nbest"]] for k, r in got.items()}
+
+
+def test_every_part_of_a_transcript_comes_out(spark):
+    turns = turns_of(spark)
+    raw = transcripts.raw_transcripts(turns)
+    model = transcripts.fit(raw.join(turns.selectExpr("conv_id", "turn as part", "role"), ["conv_id", "part"]), order="part")
+    parts = [("a", 1, "Assistant: one"), ("a", 1, "Assistant: another, longer one"), ("a", 0, "User: why?"), ("a", None, "last"), ("a", 2, "same"), ("a", 2, "same")]
+    parts += [(None, k % 2, f"User: lone {k}?") for k in range(9)] + [(None, None, "User: lone?"), (None, 0, "User: lone 0?"), ("null", 0, "User: named null?"), ("null", 1, None)]
+    got = transcripts.rendered(spark.createDataFrame(parts, "conv_id string, part bigint, text string"), model).collect()
+    order = lambda x: (x[0] or "", x[0] is None, x[1] is None, x[1] or 0)
+    assert sorted(((r["conv_id"], r["part"]) for r in got), key=order) == sorted((p[:2] for p in parts), key=order)
+    bare = lambda t: re.sub(r"<\|im_(start\|>\w+|end\|>)\n?", "", t).strip("\n")
+    said = lambda t: (t or "").removeprefix("User: ").removeprefix("Assistant: ")
+    assert sorted(bare(r["text"]) for r in got) == sorted(said(t) for _, _, t in parts)
+    for r in got:
+        if r["conv_id"] is None:
+            assert r["text"].startswith("<|im_start|>") and r["text"].endswith("<|im_end|>") and r["text"].count("<|im_") == 2
+    named = [r for r in got if r["conv_id"] == "a"]
+    assert [bare(r["text"]) for r in named if r["text"].endswith("\n<|im_end|>")] == ["last"]
+    assert sum(r["text"].startswith("<|im_start|>") for r in named) == 1
