@@ -161,7 +161,7 @@ class Encoder:
 
     The pre-tokeniser cuts before every space and around every line feed that stands alone between other
     characters, so such pieces are encoded apart. A text with two white-space characters in a row, or one
-    at an end, is encoded as a whole.
+    at an end, or with an added token's content is encoded as a whole.
     """
 
     PIECES = 1_000_000
@@ -173,7 +173,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.spaced = any(re.search(r"\s", t) for t in self.added)  # then joined pieces might make one
         self.gap = self.model.encode("\n\n", add_special_tokens=False).ids
         self.clear()
 
@@ -225,7 +226,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, np.int32)
-            elif "  " in t or "\n\n" in t:
+            elif "  " in t or "\n\n" in t or self.spaced or any(a in t for a in self.added):
                 out[i] = self.whole([t])[0]
             else:
                 plain.append(i)

@@ -448,3 +448,14 @@ def test_every_part_of_a_transcript_comes_out(spark):
     named = [r for r in got if r["conv_id"] == "a"]
     assert [bare(r["text"]) for r in named if r["text"].endswith("\n<|im_end|>")] == ["last"]
     assert sum(r["text"].startswith("<|im_start|>") for r in named) == 1
+
+
+def test_encoder_equals_the_library_at_added_tokens():
+    from tokenizers import Tokenizer
+
+    encode, library = token_grammar.Encoder(tokenizer_file(TOKENIZER)), Tokenizer.from_file(tokenizer_file(TOKENIZER))
+    texts = ["x <|endoftext|> a", "<|endoftext|>", "a<|endoftext|>b c", "a <|endoftext|>\nb", "<|endoftext|><|endoftext|> x", "a <|endoftext| b", "a b\nc d", "x  y <|endoftext|>"]
+    assert encode(texts[:1])[0].tolist() == [87, 220, 50256, 257]
+    for _ in range(2):
+        for text, got in zip(texts, encode(texts), strict=True):
+            assert got.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
