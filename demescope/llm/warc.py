@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +42,13 @@ def arc_archives(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
     """name, content: pages packed in gzipped ARC archives of about 8 MB, versions 1 and 2 by turns.
 
     The page_id travels in the HTTP header ``X-Page-Id``. Null html is an empty payload; a null url is
-    written as ``-``; characters that a header line can't hold are percent-encoded.
+    written as ``-``; characters that a header line can't hold are percent-encoded. Names have the partition
+    and a count in it, so no two archives of a table share one.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
-        buffer, first, name, version = bytearray(), None, "", 1
+        made, part = 0, TaskContext.get().partitionId()
+        buffer, name, version = bytearray(), "", 1
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict(
@@ -57,9 +59,9 @@ def arc_archives(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
             for page, url, html in zip(*(batch.column(i) for i in range(3)), strict=True):
                 page, url, html = page.as_py(), url.as_py(), (html.as_py() or b"")
                 if not buffer:
-                    first, made = page, made + 1
+                    made += 1
                     version = 1 + made % 2
-                    name = f"legacy-{'null' if first is None else first}-{made}.arc.gz"
+                    name = f"legacy-{'null' if page is None else page}-{part}-{made}.arc.gz"
                     buffer += _arc_start(version, name, date)
                 mark = b"" if page is None else b"X-Page-Id: %d\r\n" % page
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n%sContent-Length: %d\r\n\r\n" % (mark, len(html))

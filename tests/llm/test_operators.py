@@ -459,3 +459,17 @@ def test_encoder_equals_the_library_at_added_tokens():
     for _ in range(2):
         for text, got in zip(texts, encode(texts), strict=True):
             assert got.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("first", [None, 3])
+def test_archives_of_two_partitions_that_start_alike(spark, first):
+    same, other = "s" * 2000, "o" * 2000
+    parts = [[(first, "http://a", same), (8, "http://b", "x")], [(first, "http://a", other), (9, "http://c", same)], [(first, "http://a", same)]]
+    dealt = spark.sparkContext.parallelize(parts, 3).flatMap(lambda p: p)
+    df = spark.createDataFrame(dealt, "page_id bigint, url string, html string")
+    names = [r["name"] for r in warc.arc_archives(df).collect()]
+    assert len(names) == len(set(names)) == 3
+    got = [tuple(r) for r in warc.archived_pages(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = [(first, 2000, sha(same), "revisit", 9)] * 2 + [(first, 2000, sha(other), "response", None), (8, 1, sha("x"), "response", None), (9, 2000, sha(same), "response", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
