@@ -25,7 +25,7 @@ from demescope.llm.common import mix64
 
 NONE = np.iinfo(np.int32).max
 #: Cells of one matrix, and the longest piece that is laid out in one; longer ones are merged alone.
-CELLS, LONGEST = 1 << 21, 512
+CELLS, LONGEST = 1 << 18, 512
 #: Characters of text whose pieces are gathered before they are encoded, and pieces of a long text at a time.
 GATHER, PIECES = 1 << 20, 1 << 18
 #: Bytes of pieces and ids remembered within a task.
