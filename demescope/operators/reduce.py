@@ -1,24 +1,28 @@
-"""Dimensionality reduction: PCA of feature vectors, PCA of genotypes, classical scaling."""
+"""Dimensionality reduction: PCA of feature vectors, PCA of genotypes, classical scaling.
+
+All PCA goes through ``subspace.leading``: one method at every number of samples and features.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from demescope.operators import subspace
 from demescope.operators.qc import enough_calls, label_regions
-from demescope.operators.reshape import slice_vector, split_rows
-from demescope.session import held
+from demescope.operators.reshape import dense_index, number_rows, slice_vector, split_rows
+from demescope.session import cut_lineage, held
 
-LOCAL_GRAM = 2048
 PCA_METHODS = ("GramSVD", "Power", "Randomized", "GLRM")
 
 
@@ -37,64 +41,98 @@ def _row_matrix(df: DataFrame, vector: str) -> RowMatrix:
     return RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(vector), vector))
 
 
-def right_singular(df: DataFrame, vector: str, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leading singular values and right singular vectors of the matrix with these rows.
+def explained_components(df: DataFrame, threshold: float = 0.7, vector: str = "features") -> int:
+    """Components to keep by the singular values of uncentred score vectors.
 
-    Up to ``LOCAL_GRAM`` columns the products of the columns are summed in one distributed pass and
-    decomposed on the driver (a matrix of at most 32 MB); beyond, the iterative distributed solver runs.
+    The products of the score columns are summed in one pass; that matrix is as wide as a score vector.
     """
-    matrix = _row_matrix(df, vector)
-    if width > LOCAL_GRAM:
-        svd = matrix.computeSVD(k, computeU=False)
-        return svd.s.toArray(), svd.V.toArray()
-    values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-    top = np.argsort(values)[::-1][:k]
-    return np.sqrt(np.maximum(values[top], 0.0)), vectors[:, top]
+    squares = np.linalg.eigvalsh(_row_matrix(df, vector).computeGramianMatrix().toArray())[::-1]
+    return components_by_share(np.sqrt(np.maximum(squares, 0.0)), threshold)
 
 
-def explained_components(df: DataFrame, n_pc: int, threshold: float = 0.7, vector: str = "features") -> int:
-    """Components to keep by the singular values of uncentred score vectors."""
-    with held(df.select(vector)) as rows:
-        values, _ = right_singular(rows, vector, n_pc, n_pc)
-    return components_by_share(values, threshold)
+# --- PCA of feature vectors ---------------------------------------------------------------
 
 
-# --- PCA of feature vectors (few thousand features) ---------------------------------------
+@dataclass
+class Components:
+    """A fitted PCA: singular values of the centred (scaled) matrix, loadings ``(fb, m)`` and the columns' scale."""
 
+    values: np.ndarray
+    loadings: DataFrame
+    scale: DataFrame
 
-def pca_features(df: DataFrame, k: int, vector: str = "features") -> tuple[DataFrame, PCAModel]:
-    """Replaces the vector by its first ``k`` component scores."""
-    model = PCA(k=k, inputCol=vector, outputCol="_scores").fit(df)
-    return model.transform(df).drop(vector).withColumnRenamed("_scores", vector), model
+    @property
+    def k(self) -> int:
+        return len(self.values)
 
+    def project(self, df: DataFrame, vector: str = "features") -> DataFrame:
+        """The vector replaced by its uncentred scores: scaled entries times the loadings."""
+        k = self.k
+        rows = number_rows(df, "_row")
+        parts = subspace.vector_blocks(rows.select("_row", vector_to_array(vector).alias("v")), "_row", "v")
+        scale = subspace.vector_blocks(self.scale.select(F.lit(0).alias("at"), "scale"), "at", "scale").select("fb", F.col("part").alias("scale"))
 
-def pca_scaled(
-    df: DataFrame,
-    k: int,
-    threshold: float = 0.7,
-    mode: str = "reference",
-    vector: str = "features",
-) -> DataFrame:
-    """PCA of columns scaled to unit deviation (not centred first), cut by explained share.
+        def dot(frames):
+            for pdf in frames:
+                out = [(np.asarray(r.part) * r.scale) @ subspace.unpack(r.m, k) for r in pdf.itertuples()]
+                yield pd.DataFrame({"_row": pdf["_row"], "f": out})
+
+        dots = parts.join(scale, "fb").join(self.loadings, "fb").mapInPandas(dot, "_row long, f array<double>")
+        sums = dots.groupBy("_row").agg(Summarizer.sum(array_to_vector("f")).alias("_scores"))
+        return rows.drop(vector).join(sums, "_row").drop("_row").withColumnRenamed("_scores", vector)
+
+
+def fit_components(df: DataFrame, k: int, vector: str = "features", scaled: bool = False) -> tuple[Components, DataFrame]:
+    """PCA of vectors of any length, and ``(_row, f)`` uncentred scores with the numbered rows they belong to.
+
+    ``scaled`` divides columns by their deviation; a column without any counts as 0.
+    """
+    rows = number_rows(df, "_row")
+    arrays = rows.select(F.col("_row").alias("sample_no"), vector_to_array(vector).alias("features"))
+    n, width = arrays.agg(F.count("*"), F.max(F.size("features"))).first()
+    if not n or not width:
+        raise ValueError("no vector to decompose")
+    v = array_to_vector("features")
+    stats = arrays.agg(Summarizer.mean(v).alias("mean"), Summarizer.std(v).alias("std"))
+    scale = F.transform(vector_to_array("std"), lambda d: F.when(d > 0, 1 / d).otherwise(F.lit(0.0)) if scaled else F.lit(1.0))
+    about = cut_lineage(stats.select(vector_to_array("mean").alias("mean"), scale.alias("scale")))
+    tiles = subspace.vector_tiles(arrays, n, about, width)
+    found = subspace.leading(tiles, k)
+    turn = subspace.signed(found)
+    loads = cut_lineage(subspace.loadings(tiles, found))
+    shift = subspace.feature_sums(tiles, loads, found.width) * turn
+    w = found.width
+    signed_loads = subspace.mapped(loads, "fb long, m binary", lambda r: [r.fb, subspace.pack(subspace.unpack(r.m, w) * turn)])
+    scores = subspace.sample_rows(found, np.diag(found.values * turn))
+    shifted = F.transform("f", lambda x, i: x + F.element_at(F.lit(shift.tolist()), i + 1))
+    scores = scores.select(F.col("sample_no").alias("_row"), array_to_vector(shifted).alias("_scores"))
+    return Components(found.values, signed_loads, about), rows.drop(vector).join(scores, "_row").drop("_row").withColumnRenamed("_scores", vector)
+
+
+def pca_features(df: DataFrame, k: int, vector: str = "features") -> tuple[DataFrame, Components]:
+    """Replaces the vector by its first ``k`` component scores (of the vector as it is, not centred)."""
+    model, scores = fit_components(df, k, vector)
+    return scores, model
+
+
+def _cut(scores: DataFrame, values: np.ndarray, threshold: float, mode: str, vector: str = "features") -> DataFrame:
+    """Leading components within the explained share.
 
     ``mode='reference'`` takes shares of singular values of the scores, ``'variance'`` those of the
     eigenvalues of the covariance.
     """
     if mode not in ("reference", "variance"):
         raise ValueError("mode must be 'reference' or 'variance'")
-    stages = [
-        StandardScaler(withMean=False, withStd=True, inputCol=vector, outputCol="_scaled"),
-        PCA(k=k, inputCol="_scaled", outputCol="_scores"),
-    ]
-    model = Pipeline(stages=stages).fit(df)
-    scores = model.transform(df).drop(vector, "_scaled").withColumnRenamed("_scores", vector)
-    if mode == "reference":
-        keep = explained_components(scores, k, threshold, vector)
-    else:
-        keep = components_by_share(model.stages[-1].explainedVariance.toArray(), threshold)
+    keep = explained_components(scores, threshold, vector) if mode == "reference" else components_by_share(values**2, threshold)
     return slice_vector(scores, keep, vector)
 
 
+def pca_scaled(df: DataFrame, k: int, threshold: float = 0.7, mode: str = "reference", vector: str = "features") -> DataFrame:
+    """PCA of columns scaled to unit deviation, scores of the scaled columns as they are, cut by explained share."""
+    model, scores = fit_components(df, k, vector, scaled=True)
+    return _cut(cut_lineage(scores), model.values, threshold, mode, vector)
+
+
 def pca_on_split(
     df: DataFrame,
     k: int = 0,
@@ -106,8 +144,8 @@ def pca_on_split(
 ) -> DataFrame:
     """PCA fitted on a training split, scores for all rows, cut by explained share.
 
-    ``k = 0`` takes as many components as the data allow. The method names are kept for callers:
-    Spark decomposes the covariance exactly, which every one of them approximates.
+    ``k = 0`` takes as many components as the data allow. The method names are kept for callers: all go through the
+    one decomposition, which each of them approximates.
     """
     if method not in PCA_METHODS:
         raise ValueError(f"method must be one of {PCA_METHODS}")
@@ -115,58 +153,32 @@ def pca_on_split(
     if k == 0:
         p = df.schema[vector].metadata.get("ml_attr", {}).get("num_attrs") or len(df.select(vector).first()[0])
         k = max(1, min(train.count(), p - 1))
-    model = PCA(k=k, inputCol=vector, outputCol="_scores").fit(train)
-    scores = model.transform(df).drop(vector).withColumnRenamed("_scores", vector)
-    return slice_vector(scores, components_by_share(model.explainedVariance.toArray(), threshold), vector)
+    model, _ = fit_components(train, k, vector)
+    return slice_vector(model.project(df, vector), components_by_share(model.values**2, threshold), vector)
 
 
-# --- PCA of genotypes (any number of variants) --------------------------------------------
+# --- PCA of genotypes ---------------------------------------------------------------------
 
 
-def standardised_rows(cells: DataFrame, n_samples: int, missing_rate: float | None = None) -> DataFrame:
-    """One row per varying variant: its dosages standardised over the samples, missing as 0.
+def _features(cells: DataFrame, scale: Column, keep: Column) -> DataFrame:
+    """``feature, no, mean, scale`` of the variants of long dosages that pass ``keep``; ``mean``, ``n``, ``spread`` may be used."""
+    stats = cells.filter(F.col("dosage").isNotNull()).groupBy(F.col("snp_idx").alias("feature")).agg(
+        F.avg("dosage").alias("mean"), F.count("*").alias("n"), (F.var_pop("dosage") * F.count("*")).alias("spread")
+    )
+    return dense_index(stats.filter(keep).select("feature", "mean", scale.alias("scale")), ["feature"], "no")
 
-    ``(g - 2p) / sqrt(p (1 - p))``. Variants above the missing rate are left out.
-    """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def standardise(samples: pd.Series, dosages: pd.Series) -> pd.Series:
-        def one(s, g):
-            g = np.asarray(g, dtype=np.float64)
-            p = g.mean() / 2.0
-            if not 0.0 < p < 1.0:
-                return None
-            out = np.zeros(n_samples)
-            out[s] = (g - 2.0 * p) / np.sqrt(p * (1.0 - p))
-            return out
-
-        return pd.Series([one(s, g) for s, g in zip(samples, dosages)], dtype=object)
-
-    # A variant's list is as long as the cohort at most: cells hold one row per sample and variant.
-    packed = (
-        cells.filter(F.col("dosage").isNotNull())
-        .groupBy("snp_idx")
-        .agg(F.collect_list("sample_no").alias("s"), F.collect_list("dosage").alias("g"))
-    )
+def standard_features(cells: DataFrame, n_samples: int, missing_rate: float | None = None) -> DataFrame:
+    """Varying variants with the centre and factor of ``(g - 2p) / sqrt(p (1 - p))``; above the missing rate they are left out."""
+    p = F.col("mean") / 2
+    keep = (p > 0) & (p < 1)
     if missing_rate is not None:
-        packed = packed.filter(enough_calls(F.size("s"), F.lit(n_samples), missing_rate))
-    dense = packed.select("snp_idx", standardise("s", "g").alias("z")).filter(F.col("z").isNotNull())
-    return dense.select("snp_idx", array_to_vector("z").alias("z"))
+        keep = keep & enough_calls(F.col("n"), F.lit(n_samples), missing_rate)
+    return _features(cells, 1 / F.sqrt(p * (1 - p)), keep)
 
 
-def fix_signs(vectors: np.ndarray) -> np.ndarray:
-    """Columns flipped so that the entry of largest magnitude is positive."""
-    lead = np.abs(vectors).argmax(axis=0)
-    signs = np.sign(vectors[lead, np.arange(vectors.shape[1])])
-    return vectors * np.where(signs == 0, 1.0, signs)
-
-
-def _score_table(spark: SparkSession, scores: np.ndarray) -> DataFrame:
-    """``(sample_no, features)`` from a samples x k matrix (k columns per sample, on the driver as
-    any eigenvector solver leaves it)."""
-    pdf = pd.DataFrame({"sample_no": np.arange(len(scores)), "f": scores.tolist()})
-    table = spark.createDataFrame(pdf, "sample_no bigint, f array<double>")
-    return table.select("sample_no", array_to_vector("f").alias("features"))
+def _long(cells: DataFrame) -> DataFrame:
+    return cells.select("sample_no", F.col("snp_idx").alias("feature"), F.col("dosage").alias("value"))
 
 
 def sample_pca(
@@ -177,25 +189,57 @@ def sample_pca(
 ) -> tuple[DataFrame, DataFrame]:
     """PCA of samples from numbered dosages: ``(sample_id, features)`` and the eigenvalues.
 
-    Variants are the rows of a distributed matrix whose right singular vectors are the
-    components, so the number of variants is unbounded. ``scaled`` multiplies unit
-    vectors by the singular values. Eigenvalues: ``(pc, eigenvalue, share)``, shares of
-    the total variance.
+    Missing dosages count as the variant's mean. ``scaled`` multiplies unit vectors by the singular values.
+    Eigenvalues: ``(pc, eigenvalue, share)``, shares of the total variance.
     """
-    spark = cells.sparkSession
     samples = cells.select("sample_id", "sample_no").distinct()
     n = samples.agg(F.max("sample_no") + 1).first()[0]
-    with held(standardised_rows(cells, n, missing_rate)) as rows:
-        norms = F.aggregate(F.transform(vector_to_array("z"), lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
-        m, total = rows.agg(F.count("*"), F.sum(norms)).first()
-        if not m:
-            raise ValueError("no varying variant left for the decomposition")
-        k = min(k, n - 1, m)
-        s, v = right_singular(rows, "z", k, n)
-        v = fix_signs(v)
-    scores = samples.join(_score_table(spark, v * s if scaled else v), "sample_no")
-    values = pd.DataFrame({"pc": np.arange(1, len(s) + 1), "eigenvalue": s**2 / m, "share": s**2 / total})
-    return scores.select("sample_id", "features"), spark.createDataFrame(values)
+    tiles = subspace.long_tiles(_long(cells), standard_features(cells, n, missing_rate), n)
+    if not tiles.n_features:
+        raise ValueError("no varying variant left for the decomposition")
+    found = subspace.leading(tiles, min(k, n - 1))
+    s = found.values
+    scores = subspace.sample_rows(found, np.diag(subspace.signed(found) * (s if scaled else 1.0)))
+    total = subspace.total_square(tiles)
+    values = pd.DataFrame({"pc": np.arange(1, len(s) + 1), "eigenvalue": s**2 / tiles.n_features, "share": s**2 / total})
+    named = samples.join(scores, "sample_no").select("sample_id", array_to_vector("f").alias("features"))
+    return named, cells.sparkSession.createDataFrame(values)
+
+
+def sample_pca_scaled(cells: DataFrame, k: int, threshold: float = 0.7, mode: str = "reference") -> DataFrame:
+    """``pca_scaled`` of the samples' vectors straight from numbered dosages: ``(sample_id, features)``.
+
+    The vectors, with missing dosages at the variant's mean, are never made, so variants may be any number.
+    """
+    called = cells.filter(F.col("dosage").isNotNull())
+    samples = called.select("sample_id", "sample_no").distinct()
+    n, present = samples.agg(F.max("sample_no") + 1, F.count("*")).first()
+    deviation = F.sqrt(F.col("spread") / F.lit(float(max(1, present - 1))))
+    tiles = subspace.long_tiles(_long(called), _features(called, 1 / deviation, F.col("spread") > 0), n)
+    if not tiles.n_features:
+        raise ValueError("no varying variant left for the decomposition")
+    found = subspace.leading(tiles, k)
+    turn = subspace.signed(found)
+    shift = subspace.feature_sums(tiles, subspace.loadings(tiles, found), found.width) * turn
+    scores = subspace.sample_rows(found, np.diag(found.values * turn))
+    shifted = F.transform("f", lambda x, i: x + F.element_at(F.lit(shift.tolist()), i + 1))
+    named = samples.join(scores, "sample_no").select("sample_id", array_to_vector(shifted).alias("features"))
+    return _cut(cut_lineage(named), found.values, threshold, mode)
+
+
+def fix_signs(vectors: np.ndarray) -> np.ndarray:
+    """Columns flipped so that the entry of largest magnitude is positive."""
+    lead = np.abs(vectors).argmax(axis=0)
+    signs = np.sign(vectors[lead, np.arange(vectors.shape[1])])
+    return vectors * np.where(signs == 0, 1.0, signs)
+
+
+def _score_table(spark: SparkSession, scores: np.ndarray) -> DataFrame:
+    """``(sample_no, features)`` from a samples x k matrix (k columns per sample, on the driver as
+    any eigenvector solver leaves it)."""
+    pdf = pd.DataFrame({"sample_no": np.arange(len(scores)), "f": scores.tolist()})
+    table = spark.createDataFrame(pdf, "sample_no bigint, f array<double>")
+    return table.select("sample_no", array_to_vector("f").alias("features"))
 
 
 def eigenvalue_table(values: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -256,7 +300,8 @@ def classical_mds(
     rows = packed.select(F.col("a").alias("sample_no"), array_to_vector(centre("a", "b", "d2")).alias("row"))
     with held(rows) as rows:
         k = min(k, n - 1)
-        s, v = right_singular(rows, "row", k, n)
+        svd = _row_matrix(rows, "row").computeSVD(k, computeU=False)
+        s, v = svd.s.toArray(), svd.V.toArray()
 
         def sign_parts(batches):
             total = np.zeros(v.shape[1])

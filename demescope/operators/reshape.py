@@ -4,20 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from demescope.operators.qc import label_regions
 from demescope.schema import VARIANT
 from demescope.session import cut_lineage
 
-# Dense local vectors above this many features belong in the variants-on-rows form.
-MAX_FEATURES = 65_535
 _ROW_BITS = 33
 
 
@@ -30,8 +25,12 @@ def dense_index(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     Rows are range partitioned, sorted inside each partition and written out with their
     place; a partition's offset is the sum of the sizes before it (one number per partition).
     """
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    return number_rows(df.repartitionByRange(*keys).sortWithinPartitions(*keys), name)
+
+
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """Gap-free 0-based numbers of the rows as they lie; the table is written, so that they stay."""
+    placed = cut_lineage(df.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", _ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,46 +74,33 @@ def sample_arrays(dosages: DataFrame, block: int = 4096) -> DataFrame:
     )
 
 
-def sample_vectors(
-    dosages: DataFrame,
-    regions: DataFrame,
-    missing: str = "mean",
-    max_features: int = MAX_FEATURES,
-) -> DataFrame:
+def sample_vectors(dosages: DataFrame, regions: DataFrame, missing: str = "mean", block: int = 4096) -> DataFrame:
     """``(sample_id, region, features)``: one dense vector per sample, aligned by ``snp_idx``.
 
     The indexes present are closed up to 0..p-1. A missing cell takes the variant's mean
-    (``missing='mean'``) or 0. Refuses more than ``max_features`` variants, where a covariance
-    matrix no longer fits one machine.
+    (``missing='mean'``) or 0. Variants are numbered and filled in blocks of ``block``; only the
+    finished vector is as long as the cohort has variants.
     """
     if missing not in ("mean", "zero"):
         raise ValueError("missing must be 'mean' or 'zero'")
     fill = F.avg("dosage") if missing == "mean" else F.lit(0.0)
-    columns = dosages.groupBy("snp_idx").agg(fill.cast("double").alias("fill"))
-    # One row more than allowed is enough to refuse; below that the list is small by definition.
-    listed = columns.limit(max_features + 1).collect()
-    if len(listed) > max_features:
-        raise ValueError(f"more than {max_features} variants; use sample_pca, which keeps variants on rows")
-    listed.sort(key=lambda r: r["snp_idx"])
-    snps = np.array([r["snp_idx"] for r in listed], dtype=np.int64)
-    fills = np.array([r["fill"] for r in listed], dtype=np.float64)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def align(idx: pd.Series, values: pd.Series) -> pd.Series:
-        def one(i, v):
-            out = fills.copy()
-            out[np.searchsorted(snps, i)] = v
-            return out
-
-        return pd.Series([one(i, v) for i, v in zip(idx, values)])
-
+    columns = dense_index(dosages.groupBy("snp_idx").agg(fill.cast("double").alias("fill")), ["snp_idx"], "_no")
+    at = F.floor(F.col("_no") / block).cast("long").alias("_block")
+    fills = columns.groupBy(at).agg(F.array_sort(F.collect_list(F.struct("_no", "fill"))).alias("_fills"))
+    called = dosages.filter(F.col("dosage").isNotNull())
     cells = (
-        dosages.filter(F.col("dosage").isNotNull())
-        .groupBy("sample_id")
-        .agg(F.collect_list("snp_idx").alias("idx"), F.collect_list("dosage").alias("values"))
+        called.join(columns.select("snp_idx", "_no"), "snp_idx")
+        .groupBy("sample_id", at)
+        .agg(F.map_from_entries(F.collect_list(F.struct((F.col("_no") % block).cast("int"), F.col("dosage").cast("double")))).alias("_cells"))
     )
-    return label_regions(cells, regions).select(
-        "sample_id", "region", array_to_vector(align("idx", "values")).alias("features")
+    blocks = columns.agg(F.max("_no")).first()[0]
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((blocks or 0) // block).cast("long"))).alias("_block")
+    grid = called.select("sample_id").distinct().select("sample_id", every).join(cells, ["sample_id", "_block"], "left").join(fills, "_block")
+    filled = F.transform("_fills", lambda f, i: F.coalesce(F.element_at("_cells", i), f["fill"]))
+    parts = grid.select("sample_id", F.struct("_block", filled.alias("v")).alias("_part"))
+    whole = parts.groupBy("sample_id").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    return label_regions(whole, regions).select(
+        "sample_id", "region", array_to_vector(F.flatten(F.col("_parts.v"))).alias("features")
     )
 
 

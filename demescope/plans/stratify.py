@@ -119,11 +119,9 @@ def stratify(
             names = cells.select("sample_id", "sample_no").distinct()
             scores = reduce.classical_mds(pairs_, n, npc, variance).join(names, "sample_no")
             return reduce.labelled(scores, regions)
-        vectors = reshape.sample_vectors(cells, regions)
         if reduction == "PCA":
-            size = min(npc, vectors.count(), chosen.count())
-            return reduce.pca_scaled(vectors, size, variance)
-        return vectors
+            return reduce.labelled(reduce.sample_pca_scaled(cells, npc, variance), regions)
+        return reshape.sample_vectors(cells, regions)
 
     study.samples = timed("reduction", lambda: cut_lineage(reduced()))
     if clustering is not None:

@@ -81,16 +81,16 @@ def test_dense_index_is_gap_free_over_partitions(spark):
     assert all(r["k"] == r["n"] for r in got) and len(got) == 1000
 
 
-def test_sample_vectors_align_fill_and_refuse(spark):
+@pytest.mark.parametrize("block", [4096, 1])
+def test_sample_vectors_align_and_fill(spark, block):
     rows = [("a", 3, 2), ("a", 9, 1), ("b", 3, 0), ("c", 9, 2)]
     df = spark.createDataFrame(rows, "sample_id string, snp_idx bigint, dosage int")
     panel = spark.createDataFrame([("a", "X"), ("b", "Y")], "sample_id string, region string")
-    got = {r["sample_id"]: (r["region"], list(r["features"])) for r in reshape.sample_vectors(df, panel).collect()}
+    got = {r["sample_id"]: (r["region"], list(r["features"])) for r in reshape.sample_vectors(df, panel, block=block).collect()}
     assert got == {"a": ("X", [2.0, 1.0]), "b": ("Y", [0.0, 1.5]), "c": ("Unknown", [1.0, 2.0])}
-    zero = {r["sample_id"]: list(r["features"]) for r in reshape.sample_vectors(df, panel, "zero").collect()}
+    zero = {r["sample_id"]: list(r["features"]) for r in reshape.sample_vectors(df, panel, "zero", block).collect()}
     assert zero["b"] == [0.0, 0.0]
-    with pytest.raises(ValueError):
-        reshape.sample_vectors(df, panel, max_features=1)
+    assert reshape.sample_vectors(df.limit(0), panel).count() == 0
 
 
 def test_transpose_twice_is_identity(spark):
