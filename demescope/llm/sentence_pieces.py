@@ -74,7 +74,8 @@ class Pieces:
     segmentations of a text follow exactly from those of its units.
     """
 
-    UNITS = 600_000
+    #: Bytes of units and their segmentations that a worker keeps, and what a unit takes besides its arrays.
+    HELD, ENTRY = 64 << 20, 150
 
     def __init__(self, path: str, best: int):
         from sentencepiece import SentencePieceProcessor
@@ -104,6 +105,10 @@ class Pieces:
         self.best = best
         self.clear()
 
+    def held(self) -> int:
+        """Bytes of the units met so far."""
+        return self.ENTRY * len(self.codes) + sum(x.nbytes for x in (self.flat, self.begins, self.counts, self.score, self.gaps))
+
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.flat = np.zeros(0, np.int32)
@@ -329,7 +334,7 @@ class Pieces:
 
     def ranked(self, texts: list[str]) -> Iterator[list[tuple[float, np.ndarray]]]:
         """Of each text the score and ids of its N best segmentations, highest score first."""
-        if len(self.codes) > self.UNITS:
+        if self.held() > self.HELD:
             self.clear()
         pieces, bounds = [], [0]
         for t in texts:

@@ -164,7 +164,8 @@ class Encoder:
     at an end, or with an added token's content is encoded as a whole.
     """
 
-    PIECES = 1_000_000
+    #: Pieces a worker keeps, at some 150 bytes each.
+    PIECES = 250_000
 
     def __init__(self, path: str):
         import os
