@@ -24,7 +24,8 @@ def exact_duplicates(docs: DataFrame, fan_in_bits: int = 3, levels: int = 2) ->
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``.
 
     Texts are equal when they are identical without the characters ``[\\x20\\x09-\\x0D]``. The row with the
-    most code points in its original text stays, of those the smallest doc_id.
+    most code points in its original text stays, of those the smallest doc_id (null last), of those the one with the
+    smaller hash of its text; of equal rows any one. So exactly one row of a group is kept.
 
     Every scan task makes one run: its digests, each with its best candidate and count. Runs are numbered
     and merged in ``levels`` rounds of ``2 ** fan_in_bits`` runs each. In a round the runs whose numbers
@@ -40,9 +41,11 @@ def exact_duplicates(docs: DataFrame, fan_in_bits: int = 3, levels: int = 2) ->
     text = F.coalesce(F.col("text"), F.lit(""))
     norm = F.regexp_replace(text, WHITE + "+", "")
     digests = cut_lineage(
-        docs.select("doc_id", F.char_length(text).alias("chars"), norm.alias("norm")).select(
+        docs.select("doc_id", F.char_length(text).alias("chars"), F.xxhash64(text).alias("mark"), norm.alias("norm")).select(
             "doc_id",
             "chars",
+            "mark",
+            F.monotonically_increasing_id().alias("row"),
             F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"),
             F.xxhash64("norm").alias("check"),
             F.octet_length("norm").alias("norm_bytes"),
@@ -52,7 +55,7 @@ def exact_duplicates(docs: DataFrame, fan_in_bits: int = 3, levels: int = 2) ->
     prefix = F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("bigint")
     digest_place = F.pmod(prefix, F.lit(1 << bits))
     runs = (
-        digests.withColumn("best", F.struct((-F.col("chars")).alias("minus_chars"), "doc_id"))
+        digests.withColumn("best", F.struct((-F.col("chars")).alias("minus_chars"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "row"))
         .withColumn("n", F.lit(1).cast("bigint"))
         .withColumn("place", F.pmod(F.spark_partition_id(), F.lit(1 << bits)).cast("bigint"))
     )
@@ -60,12 +63,12 @@ def exact_duplicates(docs: DataFrame, fan_in_bits: int = 3, levels: int = 2) ->
         mask = ((1 << fan_in_bits) - 1) << (fan_in_bits * level)
         place = F.col("place").bitwiseAND(F.lit(~mask)).bitwiseOR(digest_place.bitwiseAND(F.lit(mask)))
         runs = _merged(runs, place)
-    groups = cut_lineage(runs.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size")))
-    out = look_up(digests.select("doc_id", *KEY), groups, KEY, "group_size")
+    groups = cut_lineage(runs.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size")))
+    out = look_up(digests.select("doc_id", "row", *KEY), groups, KEY, "group_size")
     return out.select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )

@@ -9,7 +9,7 @@ from demescope.llm.common import look_up
 from demescope.session import cut_lineage
 
 RATIO = 0.01
-LEAST_PAGES = 5
+LEAST_PAGES = 2  # a line of one page alone is not repeated
 
 
 def _lines(text: Column) -> Column:
@@ -20,6 +20,16 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
+def _unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it from a taken one."""
+    out = []
+    for name in names:
+        while name.lower() in {t.lower() for t in taken}:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def boilerplate_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host: str = "source") -> DataFrame:
     """host, line (MD5), pages, rows: the lines of more than ``ratio`` of their host's pages, on ``least_pages`` at least.
 
@@ -47,17 +57,17 @@ def without_boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int
     """
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(
-        "_key", F.struct(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col("doc_id").cast("string").alias("doc_id"), _digest(F.coalesce("text", F.lit(""))).alias("page"))
-    )
+    key, joint, drop, lines, kept = _unused(names, "key", "joint", "drop", "lines", "kept")
+    text = F.coalesce("text", F.lit(""))
+    marks = F.struct(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col("doc_id").cast("string").alias("doc_id"), _digest(text).alias("page"))
+    keyed = docs.withColumn("text", text).withColumn(key, marks)
     found = cut_lineage(boilerplate_lines(docs, ratio, least_pages, host))
-    each = keyed.select("_key", F.col("_key.host").alias("host"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("l"))
-    each = each.select("_key", "host", _digest(F.col("l")).alias("line"))
-    drops = look_up(each, found, ["host", "line"], "rows").groupBy("_key").agg(F.collect_set("line").alias("_drop"))
-    joined = keyed.withColumn("_k", F.to_json(F.col("_key").withField("page", F.hex("_key.page")))).drop("_key")
-    drops = drops.select(F.to_json(F.col("_key").withField("page", F.hex("_key.page"))).alias("_k"), "_drop")
-    joined = joined.join(drops, "_k", "left").withColumn("_lines", _lines(F.col("text")))
-    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains(F.col("_drop"), _digest(x))))
-    joined = joined.withColumn("_kept", kept)
-    joined = joined.withColumn("text", F.array_join("_kept", "\n")).withColumn("n_lines", F.size("_lines")).withColumn("n_dropped", F.size("_lines") - F.size("_kept"))
+    each = keyed.select(F.col(key).alias("key"), F.col(f"{key}.host").alias("host"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("l"))
+    each = each.select("key", "host", _digest(F.col("l")).alias("line"))
+    drops = look_up(each, found, ["host", "line"], "rows").groupBy("key").agg(F.collect_set("line").alias(drop))
+    as_text = lambda c: F.to_json(F.col(c).withField("page", F.hex(f"{c}.page"))).alias(joint)
+    joined = keyed.select("*", as_text(key)).drop(key).join(drops.select(as_text("key"), drop), joint, "left").withColumn(lines, _lines(F.col("text")))
+    stay = F.when(F.col(drop).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(drop), _digest(x))))
+    joined = joined.withColumn(kept, stay)
+    joined = joined.withColumn("text", F.array_join(kept, "\n")).withColumn("n_lines", F.size(lines)).withColumn("n_dropped", F.size(lines) - F.size(kept))
     return joined.select(*names, "n_lines", "n_dropped")

@@ -74,12 +74,12 @@ def url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op5_exact_dedup",
     r"""
 with normed as (
-  select doc_id, length(coalesce(text, '')) as chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
+  select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
   from documents
 )
 select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size,
-  first_value(doc_id) over w = doc_id as kept, text_sha256
-from normed window w as (partition by text_sha256 order by chars desc, doc_id rows between unbounded preceding and unbounded following)
+  row_number() over w = 1 as kept, text_sha256
+from normed window w as (partition by text_sha256 order by chars desc, doc_id nulls last, text rows between unbounded preceding and unbounded following)
 """,
 )
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ with rows_ as (
   select doc_id, host, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from rows_
 ), shared as (
   select host, line from split_ join totals using (host) where trim(line, ' ') <> ''
-  group by host, line, total having count(distinct text) >= 5 and count(distinct text) > 0.01 * total
+  group by host, line, total having count(distinct text) >= 2 and count(distinct text) > 0.01 * total
 )
 select s.doc_id, cast(count(*) as int) as n_lines, cast(count(h.line) as int) as n_dropped,
   md5(coalesce(string_agg(s.line, chr(10) order by s.pos) filter (h.line is null), '')) as text_md5

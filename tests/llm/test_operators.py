@@ -203,6 +203,17 @@ def test_exact_duplicates(docs):
     assert got == want and exact_duplicates(docs([])).count() == 0
 
 
+def test_exactly_one_row_of_equal_texts_stays(docs):
+    texts = [(None, "x y"), (1, "xy"), (2, "x y"), (6, "a b"), (6, "ab"), (None, None), (None, ""), (None, "z"), (7, "q"), (7, "q"), (7, "q")]
+    got = rows(exact_duplicates(docs(texts).repartition(3)), "text_sha256", "keep_id", "group_size", "kept")
+    by = {}
+    for sha, keep, size, kept in got:
+        by.setdefault(sha, []).append((keep, size, kept))
+    name = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("xy", "ab", "", "z", "q")}
+    assert all(sum(k for _, _, k in group) == 1 and {s for _, s, _ in group} == {len(group)} for group in by.values())
+    assert {t: by[name[t]][0][0] for t in name} == {"xy": 2, "ab": 6, "": None, "z": None, "q": 7}
+
+
 def turns_of(spark, n=60):
     rng = random.Random(6)
     data = []
@@ -303,6 +314,14 @@ def test_lines_by_site(spark, docs):
     assert line_dedup.without_boilerplate(docs([])).count() == 0
 
 
+def test_lines_of_a_small_site_and_of_tables_with_clashing_names(docs):
+    df = docs([(k, f"own {k}\nshared") for k in range(4)] + [(9, "lone\nlone")])
+    for name in ("key", "joint", "drop", "lines", "kept", "_key", "_k", "_drop", "_lines", "_kept", "host", "line", "page"):
+        df = df.selectExpr("*", f"'{name}' as {name}")
+    got = {r["doc_id"]: (r["text"], r["kept"], r["_drop"]) for r in line_dedup.without_boilerplate(df).collect()}
+    assert got == {**{k: (f"own {k}", "kept", "_drop") for k in range(4)}, 9: ("lone\nlone", "kept", "_drop")}
+
+
 def test_pages_through_both_archives(spark):
     big = "<p>é" + "x" * 1000
     pages = [(1, "http://a/1", big), (2, "http://a 2", big), (3, None, big), (4, "http://b", "same"), (5, "http://b", "same"), (6, "", None), (7, "http://c", "a\r\n\r\nWARC/1.1\r\nb" + big), (None, "http://d", "y")]
