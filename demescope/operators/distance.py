@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demescope.functions.vectors import METRICS
-from demescope.operators.tiles import dosage_tiles, joint_counts, meet, pair_tiles, spread_tile
+from demescope.operators import balls
+from demescope.operators.tiles import dosage_tiles, joint_counts, pair_tiles, spread_tile
 
 SAMPLE_TILE = 256
 SNP_BLOCK = 16_384
-POINT_TILE = 1024
+POINT_TILE = balls.TILE
 
 
 def _all_tile_pairs(tiles: DataFrame) -> DataFrame:
@@ -96,59 +97,12 @@ def sample_distances(
 # --- points in feature space --------------------------------------------------------------
 
 
-def _point_tiles(points: DataFrame, tile: int, columns: list[str]) -> DataFrame:
-    """Points dealt evenly to tiles of about ``tile`` rows, by a hash of their id."""
-    n_tiles = F.ceil(points.agg(F.count("*").alias("n")).scalar() / F.lit(float(tile)))
-    number = F.pmod(F.xxhash64("id"), F.greatest(n_tiles, F.lit(1))).cast("long")
-    rows = points.select(number.alias("tile"), "id", *columns)
-    return rows.groupBy("tile").agg(F.collect_list(F.struct("id", *columns)).alias("points"))
-
-
-def _open_points(rows: pd.DataFrame, *columns: str):
-    points = list(rows.iloc[0]["points"])
-    matrix = np.array([np.asarray(r["features"], dtype=np.float64) for r in points])
-    return matrix, [np.array([r[c] for r in points]) for c in columns]
-
-
-def euclidean_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances between the lines of two matrices, by differences (exact for equal points)."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
-    for s in range(0, len(a), step):
-        d = a[s : s + step, None, :] - b[None, :, :]
-        out[s : s + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-    return out
-
-
 def cluster_separation(points: DataFrame, tile: int = POINT_TILE) -> DataFrame:
-    """Smallest distance between and largest distance within clusters: ``(min_between, max_within)``.
+    """Smallest distance between and largest distance within clusters: ``(min_between, max_within, pairs, compared)``.
 
-    ``points`` are ``(id, features array, cluster)``. Tiles of points are compared pairwise and each
-    comparison yields two numbers only.
+    ``points`` are ``(id, features array, cluster)``; see ``balls.separation``.
     """
-    tiles = _point_tiles(points, tile, ["features", "cluster"])
-    pairs = _all_tile_pairs(tiles)
-    left = tiles.withColumnRenamed("tile", "tile_a").join(pairs, "tile_a")
-    right = tiles.withColumnRenamed("tile", "tile_b").join(pairs, "tile_b")
-
-    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=["between", "within"])
-        x, (ix, cx) = _open_points(a, "id", "cluster")
-        y, (iy, cy) = _open_points(b, "id", "cluster")
-        d = euclidean_block(x, y)
-        same = cx[:, None] == cy[None, :]
-        other = ~same
-        within = d[same & (ix[:, None] != iy[None, :])]
-        return pd.DataFrame(
-            {
-                "between": [d[other].min() if other.any() else None],
-                "within": [within.max() if within.size else None],
-            }
-        )
-
-    found = meet(left, right, ["tile_a", "tile_b"], compare, "between double, within double")
-    return found.agg(F.min("between").alias("min_between"), F.max("within").alias("max_within"))
+    return balls.separation(points, tile)
 
 
 def nearest_neighbours(
@@ -156,50 +110,9 @@ def nearest_neighbours(
 ) -> DataFrame:
     """The ``k`` nearest points of every query: ``(query_id, rank, id, label, distance)``, exact.
 
-    Both sides are ``(id, features array[, label])``. Tiles meet pairwise and pass on at most ``k``
-    candidates per query; the last ranking sees only those. Equal distances go by id.
+    Both sides are ``(id, features array[, label])``. Equal distances go by id. See ``balls.nearest_in_balls``.
     """
-    q = _point_tiles(queries, tile, ["features"])
-    p = _point_tiles(points, tile, ["features", "label"])
-    n_p = p.agg((F.max("tile") + 1).alias("n")).scalar()
-    n_q = q.agg((F.max("tile") + 1).alias("n")).scalar()
-    left = q.select(F.col("tile").alias("tile_a"), F.explode(F.sequence(F.lit(0).cast("long"), n_p - 1)).alias("tile_b"), "points")
-    right = p.select(F.explode(F.sequence(F.lit(0).cast("long"), n_q - 1)).alias("tile_a"), F.col("tile").alias("tile_b"), "points")
-
-    def nearest(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "id", "label", "distance"]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=columns)
-        x, (ix,) = _open_points(a, "id")
-        y, (iy, ly) = _open_points(b, "id", "label")
-        d = euclidean_block(x, y)
-        if exclude_self:
-            d[ix[:, None] == iy[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(iy, d.shape), d), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(x)), order.shape[1])
-        cols = order.ravel()
-        out = pd.DataFrame({"query_id": ix[rows], "id": iy[cols], "label": ly[cols], "distance": d[rows, cols]})
-        return out[np.isfinite(out["distance"])]
-
-    id_type = points.schema["id"].dataType.simpleString()
-    query_type = queries.schema["id"].dataType.simpleString()
-    label_type = points.schema["label"].dataType.simpleString()
-    schema = f"query_id {query_type}, id {id_type}, label {label_type}, distance double"
-    near = meet(left, right, ["tile_a", "tile_b"], nearest, schema)
-    # Partial lists merge k at a time: one small array per query, not a sort of all candidates.
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "id", "label"))), 1, k)
-    return (
-        near.groupBy("query_id")
-        .agg(best.alias("best"))
-        .select("query_id", F.posexplode("best").alias("rank", "b"))
-        .select(
-            "query_id",
-            (F.col("rank") + 1).alias("rank"),
-            F.col("b.id").alias("id"),
-            F.col("b.label").alias("label"),
-            F.col("b.distance").alias("distance"),
-        )
-    )
+    return balls.nearest_in_balls(queries, points, k, tile, exclude_self)[0]
 
 
 def as_points(df: DataFrame, id_col: str, vector: str, **columns: str) -> DataFrame:

@@ -173,14 +173,27 @@ def cross_table(scores: DataFrame, rows: Sequence[str], column: str, columns: Se
     return scores.groupBy(*rows).pivot(column, list(columns)).agg(F.max(value))
 
 
-# --- order statistics over short lists ----------------------------------------------------
+# --- order statistics -------------------------------------------------------------------
 
 
 def cumulative_share(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Share and running share of ``value`` in the given order; for per-component lists."""
-    total = df.agg(F.sum(value).alias("t")).scalar()
-    running = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("share", F.col(value) / total).withColumn("cum_share", F.sum("share").over(running))
+    """Share and running share of ``value`` in the given order, over tables of any length.
+
+    Rows are range partitioned and sorted; sums run inside a partition and start from the sum of
+    those before it (one number per partition).
+    """
+    placed = cut_lineage(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", _ROW_BITS).cast("int")
+    sums = placed.groupBy(part.alias("part")).agg(F.coalesce(F.sum(F.col(value).cast("double")), F.lit(0.0)).alias("s")).collect()
+    before, total = {}, 0.0
+    for r in sorted(sums, key=lambda r: r["part"]):
+        before[r["part"]] = total
+        total += r["s"]
+    offsets = F.lit([before.get(p, 0.0) for p in range(max(before, default=0) + 1)])
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = (F.coalesce(inside, F.lit(0)) + F.element_at(offsets, F.col("_part") + 1)) / F.lit(total)
+    shares = placed.withColumn("_part", part).withColumn("share", F.col(value) / F.lit(total)).withColumn("cum_share", running)
+    return shares.drop("_at", "_part")
 
 
 def components_under(df: DataFrame, order: str, value: str, threshold: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from demescope.functions.vectors import vector_distance
-from demescope.operators import cluster_metrics, distance, reduce
+from demescope.operators import balls, cluster_metrics, distance, reduce, reshape
 
 
 @pytest.mark.parametrize("tile,block", [(256, 16384), (7, 9)])
@@ -76,6 +76,44 @@ def test_separation_and_ch_match_brute_force(spark, tile):
     assert np.isclose(cluster_metrics.calinski_harabasz(pts).first()["ch"], (b / (k - 1)) / (w / (len(x) - k)))
 
 
+def test_balls_out_of_reach_are_not_compared(spark):
+    """Tight groups far apart: neighbours and extremes are exact, most pairs of balls are never looked into."""
+    rng = np.random.default_rng(6)
+    lab = np.arange(400) % 20
+    x = rng.normal(size=(20, 4))[lab] * 100 + rng.normal(size=(400, 4)) * 0.1
+    df = spark.createDataFrame([(i, x[i].tolist(), int(lab[i])) for i in range(400)], "id bigint, features array<double>, label int")
+    near, pairs, compared = balls.nearest_in_balls(df, df, 3, tile=8, exclude_self=True)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in near.collect()}
+    order = np.lexsort((np.broadcast_to(np.arange(400), d.shape), d), axis=1)
+    assert {k: v[0] for k, v in got.items()} == {(i, r + 1): order[i, r] for i in range(400) for r in range(3)}
+    assert compared < pairs / 3
+    r = balls.separation(df.withColumnRenamed("label", "cluster"), tile=8).first()
+    np.fill_diagonal(d, 0)
+    same = lab[:, None] == lab[None]
+    assert np.isclose(r["min_between"], d[~same].min()) and np.isclose(r["max_within"], d[same].max())
+    assert r["compared"] < r["pairs"] / 2
+
+
+def test_neighbours_of_few_points(spark):
+    df = spark.createDataFrame([(1, [0.0], 5), (2, [3.0], 6)], "id bigint, features array<double>, label int")
+    got = sorted(tuple(r) for r in distance.nearest_neighbours(df, df, 4, exclude_self=True).collect())
+    assert got == [(1, 1, 2, 6, 3.0), (2, 1, 1, 5, 3.0)]
+    assert distance.nearest_neighbours(df, df.limit(0), 2).count() == 0 and distance.nearest_neighbours(df.limit(0), df, 2).count() == 0
+    assert tuple(balls.separation(df.limit(0).withColumnRenamed("label", "cluster")).first()) == (None, None, 0, 0)
+
+
+def test_running_share_over_many_partitions(spark):
+    df = spark.range(5000, numPartitions=7).select(((F.col("id") * 7919) % 5000).alias("k")).withColumn("v", (F.col("k") % 13).cast("int"))
+    got = reshape.cumulative_share(df, "k", "v")
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    v = np.arange(5000) % 13
+    rows = got.orderBy("k").collect()
+    assert np.allclose([r["cum_share"] for r in rows], np.cumsum(v) / v.sum()) and got.columns == ["k", "v", "share", "cum_share"]
+    assert reshape.cumulative_share(df.limit(0), "k", "v").count() == 0
+
+
 def test_separation_of_degenerate_clusterings(spark):
     one = spark.createDataFrame([(1, [0.0], 0), (2, [3.0], 0)], "id bigint, features array<double>, cluster int")
     assert cluster_metrics.dunn(one).first()["dunn"] is None
