@@ -190,6 +190,38 @@ def _segments(edges: DataFrame, segment_snps: int, segment_edges: int) -> DataFr
     )
 
 
+def _sweep(earlier: np.ndarray, later: np.ndarray, known: np.ndarray) -> tuple[dict[int, bool], np.ndarray]:
+    """Decisions of one segment in scan order, and which of its edges stay open.
+
+    ``known`` is 1 or 0 for a partner decided elsewhere, -1 if open. Partners of a node are one set of bits, as are
+    the nodes kept and those dropped so far. A node left open has open partners only to wait for, so its other
+    edges go.
+    """
+    names, codes = np.unique(np.concatenate([earlier, later]), return_inverse=True)
+    left, right = codes[: len(earlier)].tolist(), codes[len(earlier) :].tolist()
+    partners: dict[int, int] = {}
+    kept = dropped = 0
+    for e, n, k in zip(left, right, known.tolist(), strict=True):
+        bit = 1 << e
+        partners[n] = partners.get(n, 0) | bit
+        if k == 1:
+            kept |= bit
+        elif k == 0:
+            dropped |= bit
+    # Scan order is away from the start, so a node lies on one side of all its partners.
+    down = {n for e, n in zip(left, right, strict=True) if n < e}
+    decided: dict[int, bool] = {}
+    for n in [*sorted(n for n in partners if n not in down), *sorted(down, reverse=True)]:
+        if partners[n] & kept:
+            decided[n] = False
+            dropped |= 1 << n
+        elif not partners[n] & ~dropped:
+            decided[n] = True
+            kept |= 1 << n
+    open_ = np.fromiter((n not in decided and not dropped >> e & 1 for e, n in zip(left, right, strict=True)), bool, len(left))
+    return {int(names[n]): s for n, s in decided.items()}, open_
+
+
 def independent_set(
     edges: DataFrame,
     nodes: DataFrame,
@@ -198,50 +230,37 @@ def independent_set(
 ) -> DataFrame:
     """Nodes kept by a greedy scan: a node stays if none of its earlier conflicting nodes stayed.
 
-    Decided in rounds. In each, every segment settles its own nodes in scan order as far as what is
-    known about nodes elsewhere allows: one kept earlier partner drops a node, all
-    partners dropped keeps it. A round settles at least the first open node of each
-    contig, usually whole segments, and only open nodes enter the next.
+    Decided in rounds. In each, every segment of neighbouring nodes is swept once, as far as what is known about
+    nodes elsewhere allows: one kept earlier partner drops a node, all partners dropped keeps it. A round writes its
+    decisions and the open frontier: edges between nodes that are both open. Segments double in length from round
+    to round, at a bounded number of edges, so that a chain of dependent nodes needs few rounds.
     """
-    waiting = cut_lineage(_segments(edges, segment_snps, segment_edges).withColumn("known", F.lit(None).cast("boolean")))
-    settled = nodes.join(waiting.select("contig", F.col("later").alias("snp_idx")), ["contig", "snp_idx"], "left_anti")
-    decided = cut_lineage(settled.select("contig", "snp_idx", F.lit(True).alias("kept")))
-    fresh = decided
-    out = [decided]
+    listed = edges.select("contig", F.col("later").alias("snp_idx")).distinct()
+    free = nodes.join(listed, ["contig", "snp_idx"], "left_anti")
+    out = [cut_lineage(free.select("contig", "snp_idx", F.lit(True).alias("kept")))]
+    fresh, waiting = out[0], edges.select("contig", "earlier", "later")
 
     def sweep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        contig = key[0]
-        state: dict[int, bool | None] = {}
-        # Scan order is away from the start, so a later node is on one side of all its partners.
-        downward = (pdf["later"].to_numpy() < pdf["earlier"].to_numpy()).astype(np.int8)
-        rank = np.where(downward == 1, -pdf["later"].to_numpy(), pdf["later"].to_numpy())
-        pdf = pdf.assign(_rank=rank, _down=downward).sort_values(["_down", "_rank"], kind="stable")
-        for node, group in pdf.groupby("later", sort=False):
-            known = [
-                (None if pd.isna(k) else bool(k)) if state.get(e) is None else state[e]
-                for e, k in zip(group["earlier"], group["known"])
-            ]
-            if any(k is True for k in known):
-                state[node] = False
-            elif all(k is False for k in known):
-                state[node] = True
-            else:
-                state[node] = None
-        rows = [(contig, n, s) for n, s in state.items() if s is not None]
-        return pd.DataFrame(rows, columns=["contig", "snp_idx", "kept"])
-
-    while not waiting.isEmpty():
+        earlier, later = pdf["earlier"].to_numpy(np.int64), pdf["later"].to_numpy(np.int64)
+        known = pdf["kept"].map({True: 1, False: 0}).fillna(-1).to_numpy(np.int64)
+        decided, open_ = _sweep(earlier, later, known)
+        settled = pd.DataFrame({"snp_idx": list(decided), "kept": list(decided.values())}, columns=["snp_idx", "kept"])
+        frontier = pd.DataFrame({"earlier": earlier[open_], "later": later[open_]})
+        both = pd.concat([settled, frontier]).assign(contig=key[0])
+        both = both.astype({c: "Int64" for c in ("snp_idx", "earlier", "later")} | {"kept": "boolean"})
+        return both[["contig", "snp_idx", "kept", "earlier", "later"]]
+
+    schema = "contig string, snp_idx bigint, kept boolean, earlier bigint, later bigint"
+    while True:
         status = fresh.select("contig", F.col("snp_idx").alias("earlier"), "kept")
-        told = waiting.join(status, ["contig", "earlier"], "left").select(
-            "contig", "earlier", "later", "segment", F.coalesce("known", "kept").alias("known")
-        )
-        fresh = cut_lineage(
-            told.groupBy("contig", "segment").applyInPandas(sweep, "contig string, snp_idx bigint, kept boolean")
-        )
+        told = _segments(waiting, segment_snps, segment_edges).join(status, ["contig", "earlier"], "left")
+        swept = cut_lineage(told.groupBy("contig", "segment").applyInPandas(sweep, schema))
+        fresh = swept.filter(F.col("kept").isNotNull()).select("contig", "snp_idx", "kept")
+        waiting = swept.filter(F.col("earlier").isNotNull()).select("contig", "earlier", "later")
         out.append(fresh)
-        waiting = cut_lineage(
-            told.join(fresh.select("contig", F.col("snp_idx").alias("later")), ["contig", "later"], "left_anti")
-        )
+        if waiting.isEmpty():
+            break
+        segment_snps *= 2
     kept = out[0]
     for part in out[1:]:
         kept = kept.unionByName(part)

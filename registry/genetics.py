@@ -131,25 +131,27 @@ recursive("haplotype_shares", EM + """ select contig, idx_a, idx_b, round(p1, 6)
   round(p3, 6) + 0.0 as "pBA", round(p4, 6) + 0.0 as "pBB" from shares""")
 
 
-def scan_sql(condition):
-    """The greedy scan over the variants meeting a condition, one step per variant and contig."""
+def scan_sql(condition, start=0, undefined="false"):
+    """The greedy scan over the variants meeting a condition: upward from ``start``, downward below it, one step per variant."""
     return f"""{NEAR}, rates as (
   select contig, pos, ref_allele, alt_allele, least(sum(dosage) / (2.0 * count(*)), 1.0 - sum(dosage) / (2.0 * count(*))) as maf
   from dosages group by 1, 2, 3, 4
 ), picked as (
-  select snps.*, maf, row_number() over (partition by contig order by snp_idx) as rn
+  select snps.*, maf, snp_idx < {start} as down,
+    row_number() over (partition by contig, snp_idx < {start} order by case when snp_idx < {start} then -snp_idx else snp_idx end) as rn
   from snps join rates using (contig, pos, ref_allele, alt_allele) where {condition}
 ), blocked as (
-  select corr.contig, y.rn, list(x.rn) as partners from corr join picked x on x.snp_idx = idx_a join picked y on y.snp_idx = idx_b
-  where not coalesce(abs(ld) <= 0.2, false) group by 1, 2
+  select corr.contig, x.down, greatest(x.rn, y.rn) as rn, list(least(x.rn, y.rn)) as partners
+  from corr join picked x on x.snp_idx = idx_a join picked y on y.snp_idx = idx_b
+  where x.down = y.down and not coalesce(abs(ld) <= 0.2, {undefined}) group by 1, 2, 3
 ), walk as (
-  select contig, cast(1 as bigint) as rn, count(*) as last, [cast(1 as bigint)] as kept from picked group by contig
+  select contig, down, cast(1 as bigint) as rn, count(*) as last, [cast(1 as bigint)] as kept from picked group by contig, down
   union all
-  select w.contig, w.rn + 1, w.last,
+  select w.contig, w.down, w.rn + 1, w.last,
     case when b.partners is not null and list_has_any(w.kept, b.partners) then w.kept else list_append(w.kept, w.rn + 1) end
-  from walk w left join blocked b on b.contig = w.contig and b.rn = w.rn + 1 where w.rn < w.last
+  from walk w left join blocked b on b.contig = w.contig and b.down = w.down and b.rn = w.rn + 1 where w.rn < w.last
 ), pruned as (
-  select picked.* from (select contig, unnest(kept) as rn from walk where rn = last) k join picked using (contig, rn)
+  select picked.* from (select contig, down, unnest(kept) as rn from walk where rn = last) k join picked using (contig, down, rn)
 )"""
 
 
@@ -164,6 +166,22 @@ def ld_pruned(spark, sf):
     return cells.select("snp_idx", *VARIANT).distinct().join(kept, ["contig", "snp_idx"], "left_semi")
 
 
+def pruned_as(name, **options):
+    """Pruning from a start in the middle, or with undefined linkage let pass."""
+    start, undefined = options.get("start_idx", 0), "true" if options.get("undefined") == "keep" else "false"
+    recursive(name, scan_sql("true", start, undefined) + f" select snp_idx, {', '.join(VARIANT)} from pruned")
+
+    @query(name)
+    def run(spark, sf):
+        cells = numbered(spark, sf)
+        kept = ld.ld_prune(ld.ld_pairs(cells, "composite", MAX_BP), ld.snp_positions(cells), 0.2, **options)
+        return cells.select("snp_idx", *VARIANT).distinct().join(kept, ["contig", "snp_idx"], "left_semi")
+
+
+pruned_as("ld_pruned_from", start_idx=120)
+pruned_as("ld_pruned_undefined", undefined="keep")
+
+
 # --- distances ---------------------------------------------------------------------------
 
 DIFFERENCES = """

@@ -149,6 +149,20 @@ def test_prune_equals_greedy_scan(spark, seed, start, segment_snps, segment_edge
     assert kept == scan(n, bad, start or 0)
 
 
+def test_a_chain_of_dependent_nodes_takes_few_rounds(spark, monkeypatch):
+    """Each node conflicts with the next: with segments of 4 nodes the rounds double their reach."""
+    written = []
+    plain = ld.cut_lineage
+    monkeypatch.setattr(ld, "cut_lineage", lambda df: written.append(plain(df)) or written[-1])
+    n = 300
+    edges = spark.createDataFrame([("1", k, k + 1) for k in range(n - 1)], "contig string, earlier bigint, later bigint")
+    nodes = spark.range(n).select(F.lit("1").alias("contig"), F.col("id").alias("snp_idx"))
+    kept = {r["snp_idx"] for r in ld.independent_set(edges, nodes, 4, 10_000).collect()}
+    assert kept == set(range(0, n, 2))
+    frontier = [t.filter("earlier is not null").count() for t in written[1:]]
+    assert len(frontier) <= 9 and frontier == sorted(frontier, reverse=True) and frontier[-1] == 0
+
+
 def test_prune_undefined_can_be_kept(spark):
     df = spark.createDataFrame([("1", 0, 1, None)], "contig string, idx_a bigint, idx_b bigint, ld double")
     snps = spark.createDataFrame([("1", 0), ("1", 1), ("2", 2)], "contig string, snp_idx bigint")
