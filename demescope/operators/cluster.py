@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demescope.operators.balls import choose_pivots
 from demescope.operators.contingency import agreement, confusion
+from demescope.operators.distance import as_points
 from demescope.operators.reshape import best_by, hash_share
 from demescope.session import fit_table, held
 
-MICRO_CLUSTERS = 512
+#: Leaves that Ward merging starts from; they and their distances are on the driver.
+LEAVES = 512
 OUTPUT = ["sample_id", "region", "features", "label", "prediction"]
 
 
@@ -154,40 +157,36 @@ def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     return np.array([order[g] for g in group])
 
 
-def ward(df: DataFrame, k: int, micro: int = MICRO_CLUSTERS, seed: int = 1234) -> DataFrame:
-    """Ward clusters of any number of samples.
+def ward(df: DataFrame, k: int, leaves: int = LEAVES, max_iter: int = 10) -> DataFrame:
+    """Ward clusters of any number of samples, by one method at every size.
 
-    Up to ``micro`` samples each one is a leaf, as in the textbook method. Beyond, a distributed
-    k-means makes ``micro`` leaves weighted by their sizes; only those centres are merged, and every
-    sample takes the cluster of its nearest leaf.
+    ``leaves`` samples, those of the smallest hashes of their ids, start the leaves; a few distributed k-means steps
+    move them to the means of the samples nearest to them. The leaves, weighted by their sizes, are merged, and every
+    sample takes the cluster of its nearest leaf. A cohort of no more samples than leaves has each as a leaf of its
+    own, which no step moves: the textbook method.
     """
-    rows = df.select("sample_id", vector_to_array("features").alias("x"))
-    few = rows.limit(micro + 1).collect()
-    if len(few) <= micro:
-        few.sort(key=lambda r: r["sample_id"])
-        leaves = np.array([r["x"] for r in few])
-        weights = np.ones(len(leaves))
-    else:
-        model = KMeans(k=micro, seed=seed, maxIter=20).fit(df)
-        sizes = model.summary.clusterSizes
-        kept = [i for i, s in enumerate(sizes) if s > 0]
-        leaves = np.array(model.clusterCenters())[kept]
-        weights = np.array([sizes[i] for i in kept], dtype=float)
-    return nearest_centre(df, leaves, relabel=ward_labels(leaves, weights, k))
+    points = as_points(df, "sample_id", "features")
+    centres, sizes = lloyd(df, choose_pivots(points, 1, leaves), max_iter)
+    centres, sizes = centres[sizes > 0], sizes[sizes > 0]
+    order = np.lexsort(centres.T[::-1])  # groups are numbered by their first leaf
+    return nearest_centre(df, centres[order], relabel=ward_labels(centres[order], sizes[order], k))
 
 
 def cluster_centres(predictions: DataFrame) -> np.ndarray:
     """Mean feature vector per cluster, by cluster number."""
     from demescope.operators.cluster_metrics import centroids
-    from demescope.operators.distance import as_points
 
     rows = centroids(as_points(predictions, "sample_id", "features", cluster="prediction")).orderBy("cluster").collect()
     return np.array([r["centre"] for r in rows])
 
 
-def seeded_kmeans(df: DataFrame, centres: np.ndarray, max_iter: int = 20, tol: float = 1e-9) -> DataFrame:
-    """K-means from given centres. Each step adds up k sums per task and moves only those."""
+def lloyd(df: DataFrame, centres: np.ndarray, max_iter: int, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """K-means steps from given centres: the centres and how many rows were nearest to each in the last step.
+
+    Each step adds up a sum per centre and task and moves only those.
+    """
     centres = np.array(centres, dtype=float)
+    sizes = np.zeros(len(centres))
     with held(df.select(vector_to_array("features").alias("x"))) as rows:
         for _ in range(max_iter):
             now = centres.copy()
@@ -211,16 +210,22 @@ def seeded_kmeans(df: DataFrame, centres: np.ndarray, max_iter: int = 20, tol: f
             parts = rows.mapInPandas(sums, "c int, n double, s array<double>")
             totals = parts.select("c", "n", entry).groupBy("c", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
             for r in totals:
+                sizes[r["c"]] = r["n"]
                 if r["n"] > 0:
                     centres[r["c"], r["i"]] = r["v"] / r["n"]
-            if np.abs(centres - now).max() <= tol:
+            if not len(centres) or np.abs(centres - now).max() <= tol:
                 break
-    return nearest_centre(df, centres)
+    return centres, sizes
+
+
+def seeded_kmeans(df: DataFrame, centres: np.ndarray, max_iter: int = 20, tol: float = 1e-9) -> DataFrame:
+    """K-means from given centres."""
+    return nearest_centre(df, lloyd(df, centres, max_iter, tol)[0])
 
 
-def ward_kmeans(df: DataFrame, k: int, micro: int = MICRO_CLUSTERS) -> DataFrame:
+def ward_kmeans(df: DataFrame, k: int, leaves: int = LEAVES) -> DataFrame:
     """K-means started from the centroids of the Ward clusters."""
-    return seeded_kmeans(df, cluster_centres(ward(df, k, micro)))
+    return seeded_kmeans(df, cluster_centres(ward(df, k, leaves)))
 
 
 def em_clusters(df: DataFrame, k: int, seed: int = 1234, max_iter: int = 100) -> DataFrame:

@@ -187,6 +187,7 @@ clustered("kmeans_standardised", lambda df: cluster.kmeans(df, 5, init_mode="ran
 clustered("gaussian_mixture", lambda df: cluster.gaussian_mixture(df, 5)[0])
 clustered("bisecting_kmeans", lambda df: cluster.bisecting_kmeans(df, 5)[0])
 clustered("ward", lambda df: cluster.ward(df, 5))
+clustered("ward_few_leaves", lambda df: cluster.ward(df, 5, leaves=40))
 clustered("ward_kmeans", lambda df: cluster.ward_kmeans(df, 5))
 clustered("em_clusters", lambda df: cluster.em_clusters(df, 5))
 

@@ -26,7 +26,7 @@ def test_clusterings_find_the_blobs(blobs):
         found, model = fit(df, 3)
         assert found.columns == cluster.OUTPUT
         assert cluster.assign(model, df).count() == 90
-    for fit in (cluster.ward, cluster.ward_kmeans, lambda d, k: cluster.ward(d, k, micro=20)):
+    for fit in (cluster.ward, cluster.ward_kmeans, lambda d, k: cluster.ward(d, k, leaves=20)):
         assert ari(fit(df, 3)) > 90
 
 
@@ -60,6 +60,23 @@ def test_ward_labels_match_a_plain_loop():
     assert cluster.ward_labels(x, np.ones(30), 3)[0] == 0
 
 
+def test_ward_of_a_table_is_the_textbook_method_up_to_the_leaves(spark):
+    from pyspark.ml.linalg import Vectors
+
+    x = np.random.default_rng(12).normal(size=(40, 3))
+    x[7] = x[3]  # equal samples share a leaf of weight two
+    df = spark.createDataFrame([(f"s{i:02d}", "X", Vectors.dense(v)) for i, v in enumerate(x)], ["sample_id", "region", "features"])
+    single = np.delete(x, 7, axis=0)
+    weights = np.ones(39)
+    weights[3] = 2
+    want = cluster.ward_labels(single, weights, 5)
+    want = np.insert(want, 7, want[3])
+    for leaves in (40, 500):
+        rows = sorted((r["sample_id"], r["prediction"]) for r in cluster.ward(df, 5, leaves).collect())
+        got = np.array([p for _, p in rows])
+        assert {frozenset(np.flatnonzero(got == c)) for c in set(got)} == {frozenset(np.flatnonzero(want == c)) for c in set(want)}
+
+
 def test_seeded_kmeans_matches_lloyd(blobs):
     df, x, _ = blobs
     start = x[[0, 1, 5]]
