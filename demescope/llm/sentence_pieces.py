@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demescope.llm.common import column_bytes
+from demescope.session import cut_lineage
 
 MARK = "▁"  # how pieces write a space
 FALLBACK = 10.0  # a byte's score lies this far below the lowest piece's
+SMOOTHING = 0.5  # added to the count of every piece
+ROUNDS = 1  # re-estimations from the best segmentations
 CHUNK_BYTES = 1 << 20
 TOGETHER = 64  # units of at most so many characters are searched in step with others
 STEP_UNITS = 5_000
@@ -72,19 +75,22 @@ class Pieces:
     after another character or a line feed beside another one (checked on loading), so the lattice falls
     apart into units: a run of marks with what follows it, cut before line feeds too. The N best
     segmentations of a text follow exactly from those of its units.
+
+    ``logs`` has a score for every id; without it the model's own scores count, which are log-probabilities in
+    a unigram model only (a BPE model has merge ranks there).
     """
 
     #: Bytes of units and their segmentations that a worker keeps, and what a unit takes besides its arrays.
     HELD, ENTRY = 64 << 20, 150
 
-    def __init__(self, path: str, best: int):
+    def __init__(self, path: str, best: int, logs: np.ndarray | None = None):
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
+        self.model = model = SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         normal = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
         self.ids = {model.id_to_piece(i): i for i in normal}
-        self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
+        self.scores = {p: model.get_score(i) if logs is None else float(logs[i]) for p, i in self.ids.items()}
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.reach: dict[str, int] = {}  # the longest piece that starts with two given characters
         for p in self.ids:
@@ -403,19 +409,91 @@ class Pieces:
         return self.text[at].tobytes()[1:]
 
 
-_LOADED: dict[tuple[str, int], Pieces] = {}
+_LOADED: dict[tuple[str, int, int], Pieces] = {}
+
+
+def pieces(path: str, best: int, logs: np.ndarray) -> Pieces:
+    """One model per worker process, so its units are kept between tasks; other scores take its place."""
+    key = path, best, zlib.crc32(logs.tobytes())
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Pieces(path, best, logs)
+    return _LOADED[key]
+
+
+def unit_counts(docs: DataFrame) -> DataFrame:
+    """unit, n: the different units of all texts, spaces written as such, and how often they come.
 
+    Marks that stand in a text are bytes, not pieces, and are left out here.
+    """
+    text = F.concat(F.lit(" "), F.replace("text", F.lit(MARK), F.lit("")))
+    units = docs.where(F.length("text") > 0).select(F.explode(F.split(text, "(?<! )(?= )|(?=\n)")).alias("unit"))
+    return units.groupBy("unit").agg(F.count("*").alias("n"))
+
+
+def smoothed_logs(counts: np.ndarray) -> np.ndarray:
+    """Log-probabilities of counts with ``SMOOTHING`` added to each."""
+    more = counts + SMOOTHING
+    return np.log(more / more.sum())
 
-def pieces(path: str, best: int) -> Pieces:
-    """One model per worker process, so its units are kept between tasks."""
-    if (path, best) not in _LOADED:
-        _LOADED[path, best] = Pieces(path, best)
-    return _LOADED[path, best]
 
+def piece_logs(docs: DataFrame, model: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Log-probabilities of the model's pieces, by id, estimated on all texts.
 
-def encoded(docs: DataFrame, model: str, best: int = 3, ids: bool = True) -> DataFrame:
+    The first estimate counts the pieces of the library's own segmentation of every different unit, by how often
+    the unit comes; each of the ``rounds`` counts those of the best segmentation under the estimate before it
+    (expectation maximisation by Viterbi paths). Counts are whole numbers, so neither order nor partitions change
+    them. Pieces never met have the count ``SMOOTHING``; without any text all are alike. The driver sees one sum
+    per piece.
+    """
+    from sentencepiece import SentencePieceProcessor
+
+    units = cut_lineage(unit_counts(docs))
+    size = SentencePieceProcessor(model_file=model).get_piece_size()
+
+    def summed(logs: np.ndarray | None) -> np.ndarray:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size, np.int64)
+            coder = Pieces(model, 1, logs)
+            for batch in batches:
+                names, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+                offsets = column_bytes(batch.column(0))[1]
+                row = 0
+                while row < len(names):
+                    to = min(len(names), max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1))
+                    marked = [u.replace(" ", MARK) for u in names[row:to]]
+                    if logs is None:  # the library puts a mark before a text; of a unit without one it goes again
+                        ids = coder.model.encode([u.removeprefix(MARK) for u in marked])
+                        ids = [[coder.ids[MARK]] if u == MARK else x if u[0] == MARK else x[1:] for u, x in zip(marked, ids, strict=True)]
+                        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                        flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
+                    else:
+                        coder.clear()
+                        coder.learn(marked)
+                        codes = np.fromiter(map(coder.codes.__getitem__, marked), np.int64, len(marked))
+                        sizes = coder.sizes[codes]
+                        flat = coder.flat[np.arange(sizes.sum()) + np.repeat(coder.starts[codes] - np.cumsum(sizes) + sizes, sizes)]
+                    np.add.at(total, flat, np.repeat(times[row:to], sizes))
+                    row = to
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(met, pa.int32()), "n": pa.array(total[met], pa.int64())})
+
+        total = np.zeros(size)
+        for row in units.mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+            total[row["id"]] = row["n"]
+        return smoothed_logs(total)
+
+    logs = summed(None)
+    for _ in range(rounds):
+        logs = summed(logs)
+    return logs
+
+
+def encoded(docs: DataFrame, model: str, best: int = 3, ids: bool = True, logs: np.ndarray | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32, score, nbest_scores, round_trip, nbest of every row.
 
+    A piece's score is its log-probability ``logs``, by default estimated on these texts (``piece_logs``); a character
+    without a piece costs ``FALLBACK`` more than the rarest piece for each of its bytes.
     ids are those of the best segmentation by summed piece scores, ids_crc32 the checksum of them as
     little-endian 32-bit integers, nbest_scores the scores of the ``best`` segmentations (fewer if there are
     fewer), highest first; round_trip says that decoding the ids gives back the text. nbest has score, ids,
@@ -424,8 +502,10 @@ def encoded(docs: DataFrame, model: str, best: int = 3, ids: bool = True) -> Dat
     repeated results; other columns are ignored. ``ids=False`` leaves the ids out, also those in nbest.
     """
 
+    logs = piece_logs(docs, model) if logs is None else logs
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = pieces(model, best)
+        coder = pieces(model, best, logs)
         for batch in batches:
             offsets = column_bytes(batch.column(1))[1]
             row = 0

@@ -411,8 +411,34 @@ def test_encoder_equals_the_library_around_white_space():
             assert got.tolist() == encode.model.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+PROSE = ["hello the internationalization of the world", "the world of the hello", "say hello\n  to the world ", "international standards", "x▁y\n\nworld 日本"]
+
+
+def test_piece_logs_equal_counts_by_hand(docs):
+    rows = [(k, t) for k, t in enumerate([*PROSE, None, "", *PROSE[:2]])]
+    coder = sentence_pieces.Pieces(piece_model(), 1)
+    texts = [t.replace("▁", "") for _, t in rows if t]
+    size = coder.model.get_piece_size()
+    library = np.bincount([i for t in texts for i in coder.model.encode(t)], minlength=size)
+    first = sentence_pieces.smoothed_logs(library)
+    assert np.array_equal(sentence_pieces.piece_logs(docs(rows), piece_model(), rounds=0), first)
+    second = sentence_pieces.Pieces(piece_model(), 1, first)
+    again = np.bincount([i for t in texts for i in second([t]).__next__()[0]], minlength=size)
+    logs = sentence_pieces.piece_logs(docs(rows), piece_model())
+    assert np.array_equal(logs, sentence_pieces.smoothed_logs(again))
+    assert np.array_equal(logs, sentence_pieces.piece_logs(docs(rows).repartition(5), piece_model()))
+    assert len(set(sentence_pieces.piece_logs(docs([(1, None), (2, "")]), piece_model()))) == 1
+    best = sentence_pieces.Pieces(piece_model(), 1, logs)
+    for word in {w for t in texts for w in t.split()}:
+        ((ids, _, _),) = best([word])
+        assert len(ids) <= len(coder.model.encode(word)), word
+    assert [best.model.id_to_piece(int(i)) for i in next(best(["the hello"]))[0]] == ["▁the", "▁hell", "o"]
+
+
 def test_every_segmentation_of_the_best_comes_out(docs):
-    coder, rng = sentence_pieces.Pieces(piece_model(), 3), random.Random(9)
+    rng = random.Random(9)
+    logs = sentence_pieces.piece_logs(docs(enumerate(PROSE)), piece_model()) - np.random.default_rng(3).random(32_000)  # no ties
+    coder = sentence_pieces.Pieces(piece_model(), 3, logs)
     units = ["▁", "▁日本語😀x", "▁" * 60, "▁" + "ab" * 40] + sorted({"▁" + "".join(rng.choices("aeinrst.é", k=rng.randrange(1, 12))) for _ in range(200)})
     coder.learn(units)
     for u in units:
@@ -435,7 +461,7 @@ def test_every_segmentation_of_the_best_comes_out(docs):
         return best[-1]
 
     texts = dict(enumerate(["hello world", "a  b", " lead", "x\ny z", "日本 é", "aaaaaaaa bbb unbelievable", "", None, "k"]))
-    got = {r["doc_id"]: r for r in sentence_pieces.encoded(docs(texts.items()), piece_model()).collect()}
+    got = {r["doc_id"]: r for r in sentence_pieces.encoded(docs(texts.items()), piece_model(), logs=logs).collect()}
     for k, text in texts.items():
         want = {ids: s for s, ids in plain(text)} if text else {(): 0.0}
         nbest = got[k]["nbest"]
@@ -445,7 +471,7 @@ def test_every_segmentation_of_the_best_comes_out(docs):
             assert n["score"] == pytest.approx(want[tuple(n["ids"])]) and n["round_trip"] and n["n_tokens"] == len(n["ids"])
             assert n["ids_crc32"] == zlib.crc32(np.array(n["ids"], "<u4").tobytes())
     assert len(got[0]["nbest"]) == 3
-    brief = sentence_pieces.encoded(docs(texts.items()), piece_model(), ids=False)
+    brief = sentence_pieces.encoded(docs(texts.items()), piece_model(), ids=False, logs=logs)
     assert {r["doc_id"]: [n["ids_crc32"] for n in r["nbest"]] for r in brief.collect()} == {k: [n["ids_crc32"] for n in r["nbest"]] for k, r in got.items()}
 
 
