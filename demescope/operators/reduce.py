@@ -1,6 +1,7 @@
 """Dimensionality reduction: PCA of feature vectors, PCA of genotypes, classical scaling.
 
-All PCA goes through ``subspace.leading``: one method at every number of samples and features.
+PCA goes through ``subspace.leading``, one method at every number of samples and features, unless a caller names
+another of ``factorise.METHODS``.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from demescope.operators import subspace
+from demescope.operators import factorise, subspace
 from demescope.operators.qc import enough_calls, label_regions
 from demescope.operators.reshape import dense_index, number_rows, slice_vector, split_rows
 from demescope.session import cut_lineage, held
 
-PCA_METHODS = ("GramSVD", "Power", "Randomized", "GLRM")
+PCA_METHODS = factorise.METHODS
 
 
 # --- choosing the number of components ----------------------------------------------------
@@ -82,7 +83,9 @@ class Components:
         return rows.drop(vector).join(sums, "_row").drop("_row").withColumnRenamed("_scores", vector)
 
 
-def fit_components(df: DataFrame, k: int, vector: str = "features", scaled: bool = False) -> tuple[Components, DataFrame]:
+def fit_components(
+    df: DataFrame, k: int, vector: str = "features", scaled: bool = False, method: str = "GramSVD", seed: int = 1234
+) -> tuple[Components, DataFrame]:
     """PCA of vectors of any length, and ``(_row, f)`` uncentred scores with the numbered rows they belong to.
 
     ``scaled`` divides columns by their deviation; a column without any counts as 0.
@@ -97,7 +100,7 @@ def fit_components(df: DataFrame, k: int, vector: str = "features", scaled: bool
     scale = F.transform(vector_to_array("std"), lambda d: F.when(d > 0, 1 / d).otherwise(F.lit(0.0)) if scaled else F.lit(1.0))
     about = cut_lineage(stats.select(vector_to_array("mean").alias("mean"), scale.alias("scale")))
     tiles = subspace.vector_tiles(arrays, n, about, width)
-    found = subspace.leading(tiles, k)
+    found = factorise.decomposed(tiles, k, method, seed)
     turn = subspace.signed(found)
     loads = cut_lineage(subspace.loadings(tiles, found))
     shift = subspace.feature_sums(tiles, loads, found.width) * turn
@@ -144,8 +147,8 @@ def pca_on_split(
 ) -> DataFrame:
     """PCA fitted on a training split, scores for all rows, cut by explained share.
 
-    ``k = 0`` takes as many components as the data allow. The method names are kept for callers: all go through the
-    one decomposition, which each of them approximates.
+    ``k = 0`` takes as many components as the data allow. ``method``: subspace iteration (GramSVD), power iteration
+    with deflation, a Gaussian sketch or a low-rank fit; see ``factorise``.
     """
     if method not in PCA_METHODS:
         raise ValueError(f"method must be one of {PCA_METHODS}")
@@ -153,7 +156,7 @@ def pca_on_split(
     if k == 0:
         p = df.schema[vector].metadata.get("ml_attr", {}).get("num_attrs") or len(df.select(vector).first()[0])
         k = max(1, min(train.count(), p - 1))
-    model, _ = fit_components(train, k, vector)
+    model, _ = fit_components(train, k, vector, method=method, seed=seed)
     return slice_vector(model.project(df, vector), components_by_share(model.values**2, threshold), vector)
 
 
@@ -186,10 +189,11 @@ def sample_pca(
     k: int = 4,
     missing_rate: float | None = None,
     scaled: bool = False,
+    method: str = "GramSVD",
 ) -> tuple[DataFrame, DataFrame]:
     """PCA of samples from numbered dosages: ``(sample_id, features)`` and the eigenvalues.
 
-    Missing dosages count as the variant's mean. ``scaled`` multiplies unit vectors by the singular values.
+    Missing dosages count as the variant's mean; with ``method='GLRM'`` they are left out of the fit. ``scaled`` multiplies unit vectors by the singular values.
     Eigenvalues: ``(pc, eigenvalue, share)``, shares of the total variance.
     """
     samples = cells.select("sample_id", "sample_no").distinct()
@@ -197,7 +201,7 @@ def sample_pca(
     tiles = subspace.long_tiles(_long(cells), standard_features(cells, n, missing_rate), n)
     if not tiles.n_features:
         raise ValueError("no varying variant left for the decomposition")
-    found = subspace.leading(tiles, min(k, n - 1))
+    found = factorise.decomposed(tiles, min(k, n - 1), method)
     s = found.values
     scores = subspace.sample_rows(found, np.diag(subspace.signed(found) * (s if scaled else 1.0)))
     total = subspace.total_square(tiles)

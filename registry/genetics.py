@@ -248,6 +248,12 @@ def eigenvalue_table(spark, sf):
     return reduce.eigenvalue_table(values)
 
 
+@query("pca_randomized")
+def pca_randomized(spark, sf):
+    scores, _ = reduce.sample_pca(numbered(spark, sf), 4, method="Randomized")
+    return reshape.with_components(reduce.labelled(scores, regions(spark, sf)), 4)
+
+
 @query("pca_features")
 def pca_features(spark, sf):
     scores, _ = reduce.pca_features(vectors(spark, sf), 4)
