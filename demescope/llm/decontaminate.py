@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +18,15 @@ MIN_MATCH = 5
 COVERAGE = 0.6
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 20
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+INVERSE = pow(BASE, -1, 1 << 64)
 
 LEAK = StructType([StructField("item_id", LongType()), StructField("coverage", DoubleType()), StructField("tiles", IntegerType()), StructField("longest", IntegerType())])
 _ARROW_LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("longest", pa.int32())]))
 
 
 class Items:
-    """A block of benchmark items: words, and seeds (runs of ``min_match`` words) sorted by hash."""
+    """A block of benchmark items: words, and each item's different seeds (runs of ``min_match`` words) sorted by hash."""
 
     def __init__(self, rows: list[tuple[int, str]], min_match: int):
         self.ids = [r[0] for r in rows]
@@ -32,48 +34,94 @@ class Items:
         for _, w, c in word_hashes(pa.array([r[1] for r in rows], pa.string()), PUNCTUATION):
             words.append(w)
             counts.append(c)
-        w = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.sizes = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        seeds, owner, at = shingle_hashes(w, self.sizes, min_match)
-        order = np.argsort(seeds, kind="stable")
-        firsts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.seeds, self.owner, self.at = seeds[order], owner[order], (at - firsts[owner])[order]
+        self.firsts = np.concatenate([[0], np.cumsum(self.sizes)])
+        seeds, owner, _ = shingle_hashes(self.words, self.sizes, min_match)
+        order = np.lexsort((owner, seeds))
+        seeds, owner = seeds[order], owner[order]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(seeds) != 0) | (np.diff(owner) != 0)])) if len(seeds) else np.zeros(0, np.int64)
+        self.seeds, self.owner = seeds[new], owner[new]
+        self.times = np.diff(np.concatenate([new, [len(seeds)]]))
+        order = np.argsort(self.owner, kind="stable")
+        self.own_seeds = self.seeds[order]
+        self.own_firsts = np.searchsorted(self.owner[order], np.arange(len(self.ids) + 1))
         self.sieve = np.zeros(1 << FILTER_BITS, bool)
         self.sieve[self.seeds >> np.uint64(64 - FILTER_BITS)] = True
 
 
-def tiles(item_at: np.ndarray, doc_at: np.ndarray, size: int, min_match: int) -> tuple[int, int, int]:
-    """(item words covered, tiles, longest) of the greedy tiling given all seed matches of one item.
+class _Runs:
+    """Hashes of all runs of any length of a word sequence, from sums that are formed once; and its marked words."""
 
-    ``item_at`` and ``doc_at``: where equal runs of ``min_match`` words begin. Seeds that follow each other
-    on a diagonal make up a maximal match. The longest one is marked; matches that overlap a mark in the
-    item or the document are cut to their free part and wait for their turn, until none of at least
-    ``min_match`` words is left.
+    def __init__(self, words: np.ndarray, marked: np.ndarray):
+        self.words, self.marked = words, marked
+        ahead, self.back = np.full(len(words), BASE, np.uint64), np.full(len(words), INVERSE, np.uint64)
+        ahead[:1] = self.back[:1] = 1
+        self.back = np.cumprod(self.back)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(ahead))])
+
+    def free(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the runs of ``n`` words without a marked one."""
+        before = np.concatenate([[0], np.cumsum(self.marked)])
+        at = np.flatnonzero(before[n:] == before[:-n])
+        return at, (self.sums[at + n] - self.sums[at]) * self.back[at]
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, min_match: int, barred: np.ndarray | None = None) -> tuple[int, int, int]:
+    """(item words covered, tiles, longest) of the greedy tiling of an item's word hashes by a document's.
+
+    The longest equal run without a marked word on either side is marked, of equally long ones the first in
+    the item, then in the document, until none of at least ``min_match`` words is left. The greatest length
+    is sought by halving (where a run of n words is met, so is one of n - 1) over Karp-Rabin hashes of all free
+    runs of a length; then all runs of that length are taken in order. Memory follows the words, not the
+    pairs of equal words, so one word repeated on both sides costs no more than any other text.
+    ``barred`` words of the document are never marked. A run counts only if its words are equal one by one.
     """
-    order = np.lexsort((item_at, doc_at - item_at))
-    i, j = item_at[order], doc_at[order]
-    new = np.concatenate([[True], (np.diff(j - i) != 0) | (np.diff(i) != 1)])
-    begin = np.flatnonzero(new)
-    lengths = np.diff(np.concatenate([begin, [len(i)]])) + min_match - 1
-    heap = [(-int(n), int(a), int(b)) for n, a, b in zip(lengths, i[begin], j[begin], strict=True)]
-    heapq.heapify(heap)
-    item_mark, doc_mark, count, longest = np.zeros(size, bool), set(), 0, 0
-    while heap:
-        n, a, b = heapq.heappop(heap)
-        n = -n
-        free = ~item_mark[a : a + n]
-        if doc_mark:
-            free &= np.fromiter((x not in doc_mark for x in range(b, b + n)), bool, n)
-        if free.all():
-            item_mark[a : a + n] = True
-            doc_mark.update(range(b, b + n))
-            count, longest = count + 1, max(longest, n)
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-        for s, e in zip(edges[::2], edges[1::2], strict=True):
-            if e - s >= min_match:
-                heapq.heappush(heap, (-int(e - s), a + int(s), b + int(s)))
-    return int(item_mark.sum()), count, longest
+    mine, other = _Runs(item, np.zeros(len(item), bool)), _Runs(doc, np.zeros(len(doc), bool) if barred is None else barred.copy())
+    covered, count, longest = 0, 0, 0
+    top = min(len(item), len(doc))
+    while top >= min_match:
+        low, high = min_match - 1, top
+        while low < high:
+            n = (low + high + 1) // 2
+            if np.isin(mine.free(n)[1], other.free(n)[1]).any():
+                low = n
+            else:
+                high = n - 1
+        n, top = low, low - 1
+        if n < min_match:
+            break
+        starts, hashes = mine.free(n)
+        places, keys = other.free(n)
+        met = np.isin(keys, hashes)
+        places, keys = places[met], keys[met]
+        order = np.argsort(keys, kind="stable")
+        places, keys = places[order], keys[order]
+        first, last = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
+        ahead: dict[int, int] = {}
+        for a, lo, hi in zip(starts[first < last].tolist(), first[first < last].tolist(), last[first < last].tolist(), strict=True):
+            if mine.marked[a : a + n].any():
+                continue
+            k = ahead.get(lo, lo)
+            while k < hi and other.marked[places[k] : places[k] + n].any():
+                k += 1
+            ahead[lo] = k
+            for b in places[k:hi]:
+                if not other.marked[b : b + n].any() and (item[a : a + n] == doc[b : b + n]).all():
+                    mine.marked[a : a + n] = other.marked[b : b + n] = True
+                    covered, count, longest = covered + n, count + 1, max(longest, n)
+                    break
+    return covered, count, longest
+
+
+def _part(words: np.ndarray, at: np.ndarray, min_match: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, barred): the words of the seeds that begin at the sorted places ``at``, a barred one in each gap."""
+    keep = np.zeros(int(at[-1] - at[0]) + min_match, bool)
+    for k in range(min_match):
+        keep[at - at[0] + k] = True
+    held = np.flatnonzero(keep)
+    gaps = np.flatnonzero(np.diff(held) > 1) + 1
+    return np.insert(words[held + at[0]], gaps, 0), np.insert(np.zeros(len(held), bool), gaps, True)
 
 
 def _matches(items: Items, column: pa.Array, min_match: int, coverage: float) -> list[list[dict]]:
@@ -81,25 +129,24 @@ def _matches(items: Items, column: pa.Array, min_match: int, coverage: float) ->
     for first, words, counts in word_hashes(column, PUNCTUATION):
         seeds, rows, at = shingle_hashes(words, counts, min_match)
         maybe = np.flatnonzero(items.sieve[seeds >> np.uint64(64 - FILTER_BITS)])
-        lo = np.searchsorted(items.seeds, seeds[maybe], "left")
-        hi = np.searchsorted(items.seeds, seeds[maybe], "right")
-        n = hi - lo
-        if not n.sum():
-            continue
-        place = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        row, doc_at = np.repeat(rows[maybe], n), np.repeat(at[maybe], n)
-        owner, item_at = items.owner[place], items.at[place]
-        order = np.lexsort((owner, row))
-        row, doc_at, owner, item_at = row[order], doc_at[order], owner[order], item_at[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(owner) != 0)]))
-        for a, b in zip(cuts, [*cuts[1:], len(row)], strict=True):
-            size = int(items.sizes[owner[a]])
+        seeds, rows, at = seeds[maybe], rows[maybe], at[maybe]
+        for a, b in zip(*(np.searchsorted(rows, [u + k for u in np.unique(rows)]) for k in (0, 1)), strict=True):
+            mine, places = seeds[a:b], at[a:b]
+            different = np.unique(mine)
+            lo, hi = np.searchsorted(items.seeds, different, "left"), np.searchsorted(items.seeds, different, "right")
+            n = hi - lo
+            met = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             # Each seed adds one word to the first one's, so few seeds can't cover enough.
-            if len(np.unique(item_at[a:b])) * min_match < coverage * size:
-                continue
-            covered, count, longest = tiles(item_at[a:b], doc_at[a:b], size, min_match)
-            if covered >= coverage * size:
-                out[first + int(row[a])].append({"item_id": items.ids[int(owner[a])], "coverage": covered / size, "tiles": count, "longest": longest})
+            owners, back = np.unique(items.owner[met], return_inverse=True)
+            held = np.bincount(back, items.times[met], len(owners))
+            for owner in owners[held * min_match >= coverage * items.sizes[owners]].tolist():
+                size = int(items.sizes[owner])
+                wanted = items.own_seeds[items.own_firsts[owner] : items.own_firsts[owner + 1]]
+                doc, barred = _part(words, places[np.isin(mine, wanted)], min_match)
+                item = items.words[items.firsts[owner] : items.firsts[owner + 1]]
+                covered, count, longest = tiles(item, doc, min_match, barred)
+                if covered >= coverage * size:
+                    out[first + int(rows[a])].append({"item_id": items.ids[owner], "coverage": covered / size, "tiles": count, "longest": longest})
     return out
 
 
@@ -146,6 +193,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a leaked item, with their columns."""
-    named = docs.withColumnsRenamed({"leaks": "_leaks"})
+    spare = "leaks_" + uuid.uuid4().hex
+    named = docs.withColumnsRenamed({"leaks": spare})
     clean = with_leaks(named, benchmark, named.columns, **options).filter(F.size("leaks") == 0)
-    return clean.drop("leaks").withColumnsRenamed({"_leaks": "leaks"}).select(docs.columns)
+    return clean.drop("leaks").withColumnsRenamed({spare: "leaks"}).select(docs.columns)

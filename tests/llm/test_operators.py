@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -164,8 +165,21 @@ def test_tiles_against_a_plain_greedy_search():
             marks |= set(range(i, i + n))
             taken |= set(range(j, j + n))
             lengths.append(n)
-        covered, count, longest = decontaminate.tiles(np.array([s[0] for s in seeds]), np.array([s[1] for s in seeds]), 30, 3)
-        assert (covered, count, longest) == (len(marks), len(lengths), max(lengths))
+        got = decontaminate.tiles(np.array(item, np.uint64), np.array(doc, np.uint64), 3)
+        assert got == (len(marks), len(lengths), max(lengths))
+
+
+def test_tiling_of_one_repeated_word_in_bounded_memory():
+    n = 1_000_000
+    texts = pa.array(["same " * n, "same " * 300 + "other " + "same " * 500, "left right " * (n // 2), "one two three four"])
+    items = decontaminate.Items([(1, "same " * 400), (2, "left right " * 50), (3, "same " * 200 + "gap " + "same " * 199)], 5)
+    tracemalloc.start()
+    got = decontaminate._matches(items, texts, 5, 0.6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = [[(g["item_id"], g["tiles"], g["longest"], round(g["coverage"], 4)) for g in one] for one in got]
+    assert found == [[(1, 1, 400, 1.0), (3, 2, 200, 0.9975)], [(1, 1, 400, 1.0), (3, 2, 200, 0.9975)], [(2, 1, 100, 1.0)], []]
+    assert peak < 400 << 20
 
 
 def test_url_rules_and_models(spark):
