@@ -21,7 +21,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import ElementwiseProduct, IndexToString, PolynomialExpansion, StringIndexer
+from pyspark.ml.feature import ElementwiseProduct, IndexToString, PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
@@ -29,30 +29,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demescope.operators.class_metrics import macro_metrics
-from demescope.operators.contingency import confusion
 from demescope.operators.distance import nearest_neighbours
+from demescope.operators.labels import label_index, metrics_of, predicted
 from demescope.operators.reshape import best_by, hash_share, split_rows
+from demescope.operators.trees import BaggedForest, pruned_tree
 from demescope.session import fit_table, held
 
 KERNELS = ("linear", "quadratic", "RBF")
 FOURIER_FEATURES = 256
 
 
-def label_index() -> StringIndexer:
-    """Regions to codes in alphabetical order, so codes do not depend on counts."""
-    return StringIndexer(inputCol="region", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep")
-
-
 def class_names(df: DataFrame) -> list[str]:
     return label_index().fit(df).labels
 
 
-def predicted(model: Transformer, df: DataFrame) -> DataFrame:
-    """sample_id, region, features, label, prediction."""
-    return model.transform(df).select("sample_id", "region", "features", "label", "prediction")
-
-
 def with_class_names(predictions: DataFrame, names: list[str]) -> DataFrame:
     """Adds the region named by each prediction code."""
     return IndexToString(inputCol="prediction", outputCol="predicted_region", labels=names).transform(predictions)
@@ -63,10 +53,6 @@ def f1_error(predictions: DataFrame) -> float:
     return 1.0 - MulticlassClassificationEvaluator(metricName="f1").evaluate(predictions)
 
 
-def metrics_of(predictions: DataFrame) -> DataFrame:
-    return macro_metrics(confusion(predictions))
-
-
 # --- trees -------------------------------------------------------------------------------
 
 # The grid searched by default.
@@ -140,69 +126,14 @@ def tree_text(model: PipelineModel | CrossValidatorModel) -> str:
     return best.stages[-1].toDebugString
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
+def feature_importance(model: PipelineModel | BaggedForest) -> DataFrame:
     """``(feature, importance)`` of a fitted tree or forest."""
-    fitted = model.stages[-1]
+    fitted = model.stages[-1] if isinstance(model, PipelineModel) else model
     values = fitted.featureImportances.toArray()
     rows = pd.DataFrame({"feature": np.arange(1, len(values) + 1), "importance": values})
     return SparkSession.getActiveSession().createDataFrame(rows, "feature int, importance double")
 
 
-def pruned_tree(
-    train: DataFrame,
-    cp: float = 0.001,
-    impurity: str = "gini",
-    max_depth: int = 10,
-    folds: int = 10,
-    seed: int = 1234,
-    parallelism: int = 4,
-) -> tuple[PipelineModel, DataFrame]:
-    """A tree cut back to the complexity with the least cross-validated error.
-
-    Complexity is the minimum gain of a split, searched upward from ``cp`` together with the
-    depth. Returns the model and the searched table ``(min_gain, depth, cv_error)``.
-    """
-    tree = DecisionTreeClassifier(impurity=impurity, seed=seed)
-    gains = [cp, cp * 10, cp * 100]
-    depths = sorted({max(1, max_depth // 3), max(1, 2 * max_depth // 3), max_depth})
-    grid = ParamGridBuilder().addGrid(tree.minInfoGain, gains).addGrid(tree.maxDepth, depths).build()
-    search = CrossValidator(
-        estimator=Pipeline(stages=[label_index(), tree]),
-        estimatorParamMaps=grid,
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=folds,
-        seed=seed,
-        parallelism=parallelism,
-    )
-    with fit_table(train) as table:
-        found = search.fit(table)
-    rows = [
-        (float(g[tree.minInfoGain]), int(g[tree.maxDepth]), float(100 * (1 - a)))
-        for g, a in zip(grid, found.avgMetrics)
-    ]
-    table = train.sparkSession.createDataFrame(rows, "min_gain double, depth int, cv_error double")
-    return found.bestModel, table
-
-
-def forest_report(train: DataFrame, test: DataFrame, trees: int = 500, folds: int = 3, seed: int = 1234) -> tuple[PipelineModel, DataFrame]:
-    """A forest with its held-out training error and test error: ``(split, ...metrics)``.
-
-    Training rows are judged by forests that did not see them (folds stand in for out-of-bag votes).
-    """
-    model = random_forest(train, numTrees=trees, seed=seed)
-    unseen = None
-    for fold in range(folds):
-        u = F.floor(hash_share("sample_id", seed) * folds)
-        part = random_forest(train.filter(u != fold), numTrees=trees, seed=seed)
-        names = part.stages[0].labels
-        judged = with_class_names(predicted(part, train.filter(u == fold)), [*names, "Unknown"])
-        judged = judged.select(F.col("region").alias("label"), F.col("predicted_region").alias("prediction"))
-        unseen = judged if unseen is None else unseen.unionByName(judged)
-    rows = macro_metrics(confusion(unseen)).withColumn("split", F.lit("train"))
-    tested = metrics_of(predicted(model, test)).withColumn("split", F.lit("test"))
-    return model, rows.unionByName(tested)
-
-
 # --- support vector machines --------------------------------------------------------------
 
 

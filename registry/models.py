@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from demescope.operators import class_metrics, classify, cluster, cluster_metrics, contingency, distance, reduce, reshape
+from demescope.operators import class_metrics, classify, cluster, cluster_metrics, contingency, distance, reduce, reshape, trees
 from demescope.session import cut_lineage
 from registry.catalogue import query, r6
 from registry.cohort import numbered, regions, table
@@ -226,7 +226,7 @@ classified("svm_linear", lambda df: classify.svm(df, "linear"))
 classified("svm_quadratic", lambda df: classify.svm(df, "quadratic"))
 classified("svm_rbf", lambda df: classify.svm(df, "RBF"))
 classified("decision_tree", lambda df: classify.decision_tree(df, maxDepth=6))
-classified("decision_tree_cv", lambda df: classify.decision_tree(df, cv=True, folds=3, bins=(10, 20), depths=(4, 6)))
+classified("decision_tree_cv", lambda df: classify.decision_tree(df, cv=True))
 classified("random_forest", lambda df: classify.random_forest(df, numTrees=50))
 classified("svm_linear_cv", lambda df: classify.svm_cv(df, folds=2, reg=(0.01, 0.1), intercept=(True,)))
 classified("naive_bayes", classify.naive_bayes)
@@ -236,18 +236,18 @@ classified("quadratic_discriminant", lambda df: classify.discriminant(df, quadra
 
 @query("pruned_tree_search")
 def pruned_tree_search(spark, sf):
-    return classify.pruned_tree(components(spark, sf), folds=3)[1]
+    return trees.pruned_tree(components(spark, sf))[1]
 
 
 @query("forest_report")
 def forest_report(spark, sf):
     train, test = reshape.split_rows(components(spark, sf), 0.7)
-    return classify.forest_report(train, test, trees=50)[1]
+    return trees.forest_report(train, test)[1]
 
 
 @query("forest_importance")
 def forest_importance(spark, sf):
-    return classify.feature_importance(classify.random_forest(components(spark, sf), numTrees=50))
+    return classify.feature_importance(classify.random_forest(components(spark, sf), numTrees=500))
 
 
 @query("svm_grid")
@@ -257,10 +257,10 @@ def svm_grid(spark, sf):
 
 @query("train_test_errors")
 def train_test_errors(spark, sf):
-    return classify.train_test_errors(components(spark, sf), trees=50, folds=3)
+    return classify.train_test_errors(components(spark, sf))
 
 
 @query("repeated_metrics")
 def repeated_metrics(spark, sf):
-    runs = classify.repeated_metrics(components(spark, sf), lambda df: classify.decision_tree(df, maxDepth=6), repeats=3)
+    runs = classify.repeated_metrics(components(spark, sf), lambda df: classify.decision_tree(df, maxDepth=6), repeats=10)
     return class_metrics.mean_metrics(runs, ["split"])

@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from demescope.operators import class_metrics, classify, cluster, contingency
+from demescope.operators import class_metrics, classify, cluster, contingency, trees
 
 
 @pytest.fixture(scope="module")
@@ -182,14 +182,60 @@ def test_tree_reports(blobs):
     df, _, _ = blobs
     model = classify.decision_tree(df, cv=True, folds=2, bins=(10,), depths=(2, 4), impurities=("gini",))
     assert "If" in classify.tree_text(model)
-    fitted, table = classify.pruned_tree(df, folds=2)
-    assert table.count() == 9
     train, test = df.filter("sample_id < 's60'"), df.filter("sample_id >= 's60'")
-    forest, report = classify.forest_report(train, test, trees=10, folds=2)
+    forest, report = trees.forest_report(train, test, trees=10)
     assert {r["split"] for r in report.collect()} == {"train", "test"}
     assert np.isclose(classify.feature_importance(forest).agg(F.sum("importance")).first()[0], 1.0)
 
 
+def test_weakest_links_of_a_hand_worked_tree():
+    # Root 0 (40, 20, 20) has leaf 1 (30, 2, 0) and node 2 (10, 18, 20); 2 has 3 (8, 16, 0), cut into pure leaves
+    # 4 and 5, and leaf 6 (2, 2, 20). Root errs 40, 2 errs 28, 3 errs 8; leaves 1 and 6 err 2 and 4.
+    counts = np.array([[40, 20, 20], [30, 2, 0], [10, 18, 20], [8, 16, 0], [8, 0, 0], [0, 16, 0], [2, 2, 20]], float)
+    nodes = trees.Nodes(counts, np.array([1, -1, 3, 4, -1, -1, -1]), np.array([2, -1, 6, 5, -1, -1, -1]))
+    # Saved errors a leaf: 3: 8; 2: (28 - 4) / 2 = 12; 0: (40 - 6) / 3 = 11.33. So 3 closes at 8 / 40. Then 2:
+    # 28 - 12 = 16; 0: (40 - 14) / 2 = 13, which closes the root at 13 / 40.
+    links = nodes.links()
+    assert [(round(c, 6), np.flatnonzero(o).tolist()) for c, o in links] == [(0.0, [0, 2, 3]), (0.2, [0, 2]), (0.325, [])]
+    assert nodes.predictions(links[0][1]).tolist() == [0, 0, 1, 2]
+    assert nodes.predictions(links[1][1]).tolist() == [0, 1, 1, 2]
+    assert nodes.predictions(links[2][1]).tolist() == [0, 0, 0, 0]
+    assert (trees.subtree_at(links, 0.25) == links[1][1]).all() and not trees.subtree_at(links, np.inf).any()
+
+
+def test_pruned_tree_drops_splits_on_noise(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    lab = (x[:, 0] > 0) ^ (rng.random(400) < 0.15)
+    df = spark.createDataFrame([(f"s{i:03d}", "AB"[int(lab[i])], Vectors.dense(x[i])) for i in range(400)], ["sample_id", "region", "features"]).coalesce(1)
+    model, table = trees.pruned_tree(df, folds=5)
+    got = table.collect()
+    assert got[0]["n_splits"] == 0 and got[0]["rel_error"] == 1.0 and got[-1]["cp"] == 0.001
+    assert all(a["cp"] > b["cp"] and a["n_splits"] < b["n_splits"] and a["rel_error"] > b["rel_error"] for a, b in zip(got, got[1:]))
+    best = min(got, key=lambda r: (r["cv_error"], r["n_splits"]))
+    assert 1 <= best["n_splits"] <= 5 < got[-1]["n_splits"] and best["cv_error"] < got[-1]["cv_error"]
+    judged = classify.predicted(model, df)
+    root = min(lab.sum(), 400 - lab.sum())
+    assert np.isclose(judged.filter("label <> prediction").count() / root, best["rel_error"])
+
+
+def test_out_of_bag_votes_against_numpy(blobs):
+    df, x, lab = blobs
+    forest = trees.bagged_forest(df, trees=45, seed=5)
+    every = forest.index.transform(df)
+    for k, tree in enumerate(forest.trees):
+        every = tree.transform(every).withColumn(f"w{k}", trees.bag_weight("sample_id", k, 5))
+    seen = {r["sample_id"]: r for r in every.collect()}
+    assert 0.9 < np.mean([r[f"w{k}"] for r in seen.values() for k in range(45)]) < 1.1
+    for unseen in (True, False):
+        want = {}
+        for name, r in seen.items():
+            votes = np.bincount([int(r[f"_tree{k}"]) for k in range(45) if not unseen or r[f"w{k}"] == 0], minlength=3)
+            want[name] = float(votes.argmax())
+        assert {r["sample_id"]: r["prediction"] for r in forest.elected(df, unseen).collect()} == want
+    assert sum(want[f"s{i:02d}"] == lab[i] for i in range(90)) > 85
+
+
 def test_named_predictions_and_repeats(blobs):
     df, _, _ = blobs
     model = classify.decision_tree(df)
