@@ -53,7 +53,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", segmentation),
 ]
 
-# A network's scores and a lattice's best paths are beyond SQL. Tests cover the single operators, not run().
+# A network's scores and a lattice's best paths are beyond SQL. Tests plant rows for each stage.
 ORACLE_SQL = None
 
 
