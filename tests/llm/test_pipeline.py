@@ -23,7 +23,7 @@ def test_planted_documents_leave_at_their_stage(spark):
         return [f"w{rng.randrange(4000)}" for _ in range(n)]
 
     item = [f"q{k}" for k in range(40)]
-    # With about a hundred labelled rows the network takes too few steps to learn anything, so there are 800.
+    # With 120 labelled rows toxic ones stayed, so there are 800: the network needs some steps.
     texts = {k: " ".join(prose(60)) for k in range(1000, 1800)}
     toxic = set(range(1400, 1800))
     for k in toxic:
