@@ -25,6 +25,17 @@ def test_sample_distances_match_numpy(cells, tile, block):
         assert np.allclose([r["h"], r["m1"], r["e"], r["p3"]], [(d > 0).sum(), d.sum(), np.sqrt((d**2).sum()), (d**3).sum() ** (1 / 3)])
 
 
+def test_pairs_of_samples_are_not_shuffled(spark, cells):
+    """With one block of variants pairs are listed where they are counted, with several their counts travel as matrices."""
+    df, _ = cells
+    for block in (40, 9, 2):
+        found = distance.sample_differences(df, 16, block)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "sample_b" not in plan.split("\n", 1)[1] and "Aggregate [sample_a" not in plan
+        assert found.agg(F.sum("n_valid"), F.sum("off_by_1"), F.sum("off_by_2"), F.count("*")).first() == distance.sample_differences(
+            df).agg(F.sum("n_valid"), F.sum("off_by_1"), F.sum("off_by_2"), F.count("*")).first()
+
+
 def test_rescaled_distance_and_bad_metric(cells):
     df, _ = cells
     r = distance.sample_distances(df, "manhattan", rescale=True).join(
