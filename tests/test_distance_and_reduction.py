@@ -107,6 +107,26 @@ def test_balls_out_of_reach_are_not_compared(spark):
     assert r["compared"] < r["pairs"] / 2
 
 
+def test_points_travel_by_chunks(spark, monkeypatch):
+    """Points meet once per pair of chunks, however many balls a chunk holds; cut balls and small steps change nothing."""
+    monkeypatch.setattr(balls, "TILE", 4)
+    monkeypatch.setattr(balls, "MAX_CHUNK", 40)
+    met, plain = [], balls.meet
+    monkeypatch.setattr(balls, "meet", lambda left, right, *rest: met.append(left.count()) or plain(left, right, *rest))
+    df, x, lab = points(spark, n=160, d=12)
+    near, pairs, compared = balls.nearest_in_balls(df, df, 4, tile=4, exclude_self=True)
+    assert len(met) == 2 and max(met) <= 100 < compared
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    order = np.lexsort((np.broadcast_to(np.arange(160), d.shape), d), axis=1)
+    assert {(r["query_id"], r["rank"]): r["id"] for r in near.collect()} == {(i, r + 1): order[i, r] for i in range(160) for r in range(4)}
+    met.clear()
+    r = balls.separation(df.withColumnRenamed("label", "cluster"), tile=4).first()
+    same = lab[:, None] == lab[None]
+    assert np.isclose(r["min_between"], d[~same].min()) and np.isclose(r["max_within"], d[same & np.isfinite(d)].max())
+    assert len(met) <= balls.WAVES + 1 and max(met) <= 55 < r["compared"]
+
+
 def test_neighbours_of_few_points(spark):
     df = spark.createDataFrame([(1, [0.0], 5), (2, [3.0], 6)], "id bigint, features array<double>, label int")
     got = sorted(tuple(r) for r in distance.nearest_neighbours(df, df, 4, exclude_self=True).collect())
