@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
+from string import ascii_letters, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,13 @@ def from_bytes(row: dict[str, bytes]) -> dict[str, np.ndarray]:
     return g
 
 
+#: How byte-level models spell a space and a line feed, and the bytes from 0x80 on that they don't spell as Latin-1 does.
+SPACE, LINE = "\u0120", "\u010a"
+HIGH = {b: 0x122 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 0x143}
+#: ASCII punctuation but the apostrophe, after which the pre-tokeniser looks for contractions.
+SIGNS = punctuation.replace("'", "")
+
+
 class Numbers(dict):
     """Numbers keys in the order in which they are first looked up."""
 
@@ -161,19 +169,27 @@ class Encoder:
 
     The pre-tokeniser cuts before every space and around every line feed that stands alone between other
     characters, so such pieces are encoded apart. A text with two white-space characters in a row, or one
-    at an end, or with an added token's content is encoded as a whole.
+    at an end, or with an added token's content is encoded as a whole. Pieces of letters and ``SIGNS`` after a space
+    go to the library's model cut between the two, which is what the pre-tokeniser does with them.
     """
 
-    #: Pieces a worker keeps, at some 150 bytes each.
+    #: Pieces a worker keeps, at some 150 bytes each; beyond that the more used half of them stays.
     PIECES = 250_000
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Split
 
         self.model = Tokenizer.from_file(path)
+        self.words, cut = None, self.model.pre_tokenizer
+        self.line = self.model.token_to_id(LINE)
+        if isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space and self.model.normalizer is None and self.line is not None:
+            self.words = Tokenizer(self.model.model)
+            self.words.pre_tokenizer = Split(Regex(f"{LINE}|[{re.escape(SIGNS)}]+"), "isolated")
+        self.plain, self.other = set(ascii_letters + SIGNS), set()
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.spaced = any(re.search(r"\s", t) for t in self.added)  # then joined pieces might make one
         self.gap = self.model.encode("\n\n", add_special_tokens=False).ids
@@ -183,21 +199,49 @@ class Encoder:
         self.codes = Numbers()
         self.flat = np.zeros(0, np.int32)
         self.starts, self.sizes, self.marks = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the half of ``PIECES`` looked up most; older uses count half."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.PIECES // 2])
+        names = list(self.codes)
+        self.codes = Numbers(zip(map(names.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        starts, self.sizes, self.marks, self.uses = self.starts[kept], self.sizes[kept], self.marks[kept], self.uses[kept] // 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = self.flat[np.arange(self.sizes.sum()) + np.repeat(starts - self.starts, self.sizes)]
+
+    def is_plain(self, piece: str) -> bool:
+        """Whether the piece is letters, with its space one pre-token, and then runs of letters and of ``SIGNS``, one each."""
+        if self.words is None or not piece or piece[0] in SIGNS:
+            return False
+        if self.plain.issuperset(piece):
+            return True
+        for c in set(piece).difference(self.plain, self.other):
+            letter = c.isalpha() and c not in (SPACE, LINE) and len(self.model.pre_tokenizer.pre_tokenize_str(f" a{c}a")) == 1
+            (self.plain if letter else self.other).add(c)
+        return self.plain.issuperset(piece)
+
+    def spelled(self, text: str) -> str:
+        """The text with every character but ``SPACE`` and ``LINE`` as the model spells its bytes."""
+        return re.sub(f"[^\x00-\x7f{SPACE}{LINE}]+", lambda m: m[0].encode().decode("latin-1").translate(HIGH), text)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        """Adds pieces, in this order. Those that follow a space are encoded many at a time, parted by empty lines.
+        """Adds pieces, in this order. Those that follow a space are encoded many at a time, parted by empty lines or,
+        if they are plain, by the sign that stands for a line feed.
 
         The mark of a piece is 1 if it begins a text, 0 elsewhere, and 2 if white space stands where the
         pre-tokeniser may not cut. So the marks of a text that can be encoded by pieces add up to 1.
         """
         starts, sizes, marks = (np.zeros(len(new), np.int64) for _ in range(3))
-        spaced, others, parts, end = [], [], [], len(self.flat)
+        words, spaced, others, parts, end = [], [], [], [], len(self.flat)
         for k, p in enumerate(new):
             body = p[1:] if p[:1] in ("\n", "\t") else p
-            if not body or (not body.isalnum() and " ".join(body.split()) != re.sub(r"\s", " ", body)):
+            if body is p and self.is_plain(p):
+                words.append(k)
+            elif not body or (not body.isalnum() and " ".join(body.split()) != re.sub(r"\s", " ", body)):
                 marks[k] = 2
             elif body is p and len(self.gap) == 1:
                 spaced.append(k)
@@ -205,8 +249,13 @@ class Encoder:
                 others.append(k)
                 marks[k] = p[0] == "\t"
         groups = [spaced[i : i + 500] for i in range(0, len(spaced), 500)]
-        for group, got in zip(groups, self.whole([" " + "\n\n ".join([new[k] for k in g]) for g in groups]), strict=True):
-            cuts = np.flatnonzero(got == self.gap[0])
+        found = [(g, got, self.gap[0]) for g, got in zip(groups, self.whole([" " + "\n\n ".join([new[k] for k in g]) for g in groups]), strict=True)]
+        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        if groups:
+            lines = [self.spelled(LINE.join([SPACE + new[k] for k in g])) for g in groups]
+            found += [(g, np.array(e.ids, np.int32), self.line) for g, e in zip(groups, self.words.encode_batch_fast(lines, add_special_tokens=False), strict=True)]
+        for group, got, gap in found:
+            cuts = np.flatnonzero(got == gap)
             if len(cuts) != len(group) - 1:
                 others += group
                 continue
@@ -236,11 +285,12 @@ class Encoder:
         if not plain:
             return out
         if len(self.codes) > self.PIECES:
-            self.clear()
+            self.forget()
         known = len(self.codes)
         codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
         if len(self.codes) > known:
             self.learn(list(islice(self.codes, known, None)))
+        self.uses = np.bincount(codes, minlength=len(self.codes)) + np.pad(self.uses, (0, len(self.codes) - known))
         sizes = self.sizes[codes]
         through = np.concatenate([[0], np.cumsum(sizes)])
         marks = np.add.reduceat(self.marks[codes], bounds[:-1])

@@ -532,3 +532,25 @@ def test_archives_of_two_partitions_that_start_alike(spark, first):
     sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
     want = [(first, 2000, sha(same), "revisit", 9)] * 2 + [(first, 2000, sha(other), "response", None), (8, 1, sha("x"), "response", None), (9, 2000, sha(same), "response", None)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_full_encoder_keeps_the_pieces_used_most():
+    encode = token_grammar.Encoder(tokenizer_file(TOKENIZER))
+    encode.PIECES = 200
+    encode.learn = lambda new, learn=encode.learn: (met.update(new), learn(new))
+    met: set[str] = set()
+    for k in range(20):
+        texts = ["first often,used words " * 5 + " ".join(f"rare{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150)) + " end"]
+        met.clear()
+        assert [x.tolist() for x in encode(texts)] == [x.tolist() for x in encode.whole(texts)]
+        assert k == 0 or not {"words", "often,used", "\tfirst"} & met
+        assert len(encode.codes) < 400
+
+
+def test_encoder_equals_the_library_on_letters_and_signs():
+    encode = token_grammar.Encoder(tokenizer_file(TOKENIZER))
+    dealt = random.Random(5)
+    odd = [chr(c) for c in (*range(0xA1, 0x250), 0x3B1, 0x416, 0x5D0, 0x4E2D, 0x301, 0x120, 0x10A, 0xAD, 0x1F600, 0x2028)]
+    word = lambda: "".join(dealt.choice("as,.'-7|Ġ" * 9 + "".join(odd)) for _ in range(dealt.randrange(1, 6)))
+    texts = [" ".join(word() for _ in range(dealt.randrange(1, 9))) for _ in range(3000)]
+    assert [x.tolist() for x in encode(texts)] == [x.tolist() for x in encode.whole(texts)]
