@@ -22,6 +22,7 @@ ROUNDS = 1  # re-estimations from the best segmentations
 CHUNK_BYTES = 1 << 20
 TOGETHER = 64  # units of at most so many characters are searched in step with others
 STEP_UNITS = 5_000
+SLOT_BITS = 18
 
 
 class Trie:
@@ -43,10 +44,28 @@ class Trie:
                     score.append(-np.inf)
                     piece.append(-1)
             score[node], piece[node] = s, ids[p]
-        self.keys = np.array(sorted(nodes), np.int64)
-        self.to = np.array([nodes[k] for k in self.keys.tolist()], np.int64)
+        keys, to = np.fromiter(nodes, np.int64, len(nodes)), np.fromiter(nodes.values(), np.int64, len(nodes))
+        slot = self.slots(keys)
+        order = np.argsort(slot, kind="stable")
+        # Keys by slot, each slot's run followed by the next one's; a key lies among the ``run`` first of its slot.
+        self.keys, self.to = np.append(keys[order], -1), np.append(to[order], 0)
+        self.first = np.searchsorted(slot[order], np.arange(1 << SLOT_BITS)).astype(np.int32)
+        self.run = int(np.bincount(slot, minlength=1).max()) if len(slot) else 0
         self.score, self.piece = np.array(score), np.array(piece)
 
+    @staticmethod
+    def slots(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Where the keys stand in the table, or an entry with another key."""
+        at = self.first[self.slots(keys)]
+        off = np.flatnonzero(self.keys[at] != keys)
+        for _ in range(self.run - 1):
+            at[off] = np.minimum(at[off] + 1, len(self.keys) - 1)
+            off = off[self.keys[at[off]] != keys[off]]
+        return at
+
     def coded(self, points: np.ndarray) -> np.ndarray:
         """Letter codes of code points; one that no piece has gets the code after the last."""
         at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
@@ -58,7 +77,7 @@ class Trie:
         at = begin
         while len(begin):
             key = node * self.width + code[at]
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            k = self.place(key)
             on = self.keys[k] == key
             begin, at, node = begin[on], at[on] + 1, self.to[k[on]]
             whole = self.piece[node] >= 0
@@ -80,7 +99,7 @@ class Pieces:
     a unigram model only (a BPE model has merge ranks there).
     """
 
-    #: Bytes of units and their segmentations that a worker keeps, and what a unit takes besides its arrays.
+    #: Bytes of units and their segmentations that a worker keeps (beyond that the more used half stays), and what a unit takes besides its arrays.
     HELD, ENTRY = 64 << 20, 150
 
     def __init__(self, path: str, best: int, logs: np.ndarray | None = None):
@@ -113,7 +132,7 @@ class Pieces:
 
     def held(self) -> int:
         """Bytes of the units met so far."""
-        return self.ENTRY * len(self.codes) + sum(x.nbytes for x in (self.flat, self.begins, self.counts, self.score, self.gaps))
+        return self.ENTRY * len(self.codes) + sum(x.nbytes for x in (self.flat, self.begins, self.counts, self.score, self.gaps, self.uses))
 
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
@@ -121,6 +140,19 @@ class Pieces:
         self.begins, self.counts = np.zeros((0, self.best), np.int64), np.zeros((0, self.best), np.int64)
         self.score = np.zeros(0)
         self.gaps = np.zeros((0, self.best))
+        self.uses = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the units met most often, up to half of ``HELD``; older uses count half."""
+        order = np.argsort(-self.uses, kind="stable")
+        size = self.held() / max(len(order), 1) + 4 * (self.counts[order].sum(axis=1) - len(self.flat) / max(len(order), 1))
+        kept = np.sort(order[: int(np.searchsorted(np.cumsum(size), self.HELD // 2))])
+        names = list(self.codes)
+        self.codes = dict(zip(map(names.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        begins, self.counts, self.score, self.gaps, self.uses = self.begins[kept], self.counts[kept], self.score[kept], self.gaps[kept], self.uses[kept] // 2
+        n = self.counts.ravel()
+        self.begins = (np.cumsum(n) - n).reshape(begins.shape)
+        self.flat = self.flat[np.arange(n.sum()) + np.repeat((begins - self.begins).ravel(), n)]
 
     @property
     def starts(self) -> np.ndarray:
@@ -341,7 +373,7 @@ class Pieces:
     def ranked(self, texts: list[str]) -> Iterator[list[tuple[float, np.ndarray]]]:
         """Of each text the score and ids of its N best segmentations, highest score first."""
         if self.held() > self.HELD:
-            self.clear()
+            self.forget()
         pieces, bounds = [], [0]
         for t in texts:
             if MARK in t:  # a literal mark is three bytes, so that decoding gives it back
@@ -370,6 +402,7 @@ class Pieces:
                 self.flat, self.score = np.concatenate([self.flat, ids]), np.append(self.score, 3 * self.low)
                 self.gaps = np.concatenate([self.gaps, [[0.0] + [np.inf] * (self.best - 1)]])
         codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        self.uses = np.bincount(codes, minlength=len(self.score)) + np.pad(self.uses, (0, len(self.score) - len(self.uses)))
         sizes = self.sizes[codes]
         through = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.arange(through[-1]) + np.repeat(self.starts[codes] - through[:-1], sizes)]

@@ -554,3 +554,18 @@ def test_encoder_equals_the_library_on_letters_and_signs():
     word = lambda: "".join(dealt.choice("as,.'-7|Ġ" * 9 + "".join(odd)) for _ in range(dealt.randrange(1, 6)))
     texts = [" ".join(word() for _ in range(dealt.randrange(1, 9))) for _ in range(3000)]
     assert [x.tolist() for x in encode(texts)] == [x.tolist() for x in encode.whole(texts)]
+
+
+def test_full_segmenter_keeps_the_units_met_most():
+    path = tokenizer_file("piece_bpe_32k.model")
+    small, large = sentence_pieces.Pieces(path, 3), sentence_pieces.Pieces(path, 3)
+    small.HELD = 60_000
+    small.learn = lambda new, learn=small.learn: (met.update(new), learn(new))
+    met: set[str] = set()
+    for k in range(12):
+        texts = ["often used words " * 5 + " ".join(f"rare{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150)), "a▁b often", ""]
+        met.clear()
+        got, want = ([[(s, x.tolist()) for s, x in r] for r in p.ranked(texts)] for p in (small, large))
+        assert got == want
+        assert k == 0 or not {"▁often", "▁used", "▁words"} & met
+    assert len(small.codes) < len(large.codes) / 2
