@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from demescope.llm import decontaminate, jaccard_join, line_dedup, sentence_pieces, token_grammar, toxicity, transcripts, url_filter, warc
-from demescope.llm.common import components
+from demescope.llm.common import components, word_hashes
 from demescope.llm.exact_dedup import exact_duplicates
 from demescope.llm.queries import TOKENIZER, tokenizer_file
 from demescope.session import scratch_path
@@ -569,3 +569,22 @@ def test_full_segmenter_keeps_the_units_met_most():
         assert got == want
         assert k == 0 or not {"▁often", "▁used", "▁words"} & met
     assert len(small.codes) < len(large.codes) / 2
+
+
+def test_word_hashes_take_little_memory_at_a_time():
+    words = [f"word{i % 997}" for i in range(400_000)]
+    column = pa.array([" ".join(words[i : i + 200]) for i in range(0, len(words), 200)] + [" ".join(words[:150_000])])
+    one = {w: word_hashes(pa.array([w])) for w in words[:997]}
+    one = {w: int(next(h)[1][0]) for w, h in one.items()}
+    rows, got, most = 0, [], 0
+    tracemalloc.start()
+    for _, hashes, counts in word_hashes(column):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        tracemalloc.reset_peak()
+        rows += len(counts)
+        got.append(hashes[:: max(1, len(hashes) // 50)])
+        last = hashes
+    tracemalloc.stop()
+    assert rows == len(column) and last.tolist() == [one[w] for w in words[:150_000]]
+    assert set(np.concatenate(got).tolist()) <= set(one.values())
+    assert most < 30e6
