@@ -36,6 +36,23 @@ def test_pairs_of_samples_are_not_shuffled(spark, cells):
             df).agg(F.sum("n_valid"), F.sum("off_by_1"), F.sum("off_by_2"), F.count("*")).first()
 
 
+def test_tiles_of_samples_meet_without_a_shuffle(spark, cells):
+    """Tiles are dealt once, whatever the number of pairs of tiles; a sample without a call has pairs, a cell without a sample none."""
+    df, m = cells
+    odd = spark.createDataFrame([(60, 0, None), (None, 1, 2), (61, 3, 7)], "sample_no int, snp_idx int, dosage int")
+    found = distance.sample_differences(df.select("sample_no", "snp_idx", "dosage").unionByName(odd), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    rows = found.collect()
+    assert len({(r["sample_a"], r["sample_b"]) for r in rows}) == len(rows) == 62 * 61 // 2
+    assert all(r["n_valid"] == 0 for r in rows if r["sample_b"] >= 60)
+    for r in rows[::7]:
+        if r["sample_b"] < 60:
+            a, b = m[r["sample_a"]], m[r["sample_b"]]
+            gap = np.abs(a - b)[(a >= 0) & (b >= 0)]
+            assert (r["n_valid"], r["off_by_1"], r["off_by_2"]) == (len(gap), (gap == 1).sum(), (gap == 2).sum())
+
+
 def test_rescaled_distance_and_bad_metric(cells):
     df, _ = cells
     r = distance.sample_distances(df, "manhattan", rescale=True).join(
