@@ -211,6 +211,37 @@ def test_mds_of_euclidean_distances_equals_component_scores(spark):
     assert reduce.classical_mds(pairs, 25, 10, 0.1).first()["features"].size == 1
 
 
+def test_mds_without_a_list_of_pairs(spark, cells, monkeypatch):
+    """Distances counted anew for each product scale as listed ones do, also with restarts and with numbers that no sample has."""
+    df, m = cells
+    held = []
+    monkeypatch.setattr(reduce, "MDS_BLOCK", 4)
+    monkeypatch.setattr(reduce, "MDS_BASIS", 24)
+    monkeypatch.setattr(distance, "sample_differences", lambda *a: held.append(a))
+    gaps = df.filter("sample_no not in (3, 50)")
+    for metric, p, rescale, tables in (("manhattan", 1, True, [df, gaps]), ("hamming", 2, False, [df]), ("minkowski", 2.5, True, [df])):
+        for left in tables:
+            some = sorted({r[0] for r in left.select("sample_no").distinct().collect()})
+            d2, power = np.zeros((60, 60)), {"manhattan": 1, "euclidean": 2, "hamming": 0}.get(metric, p)
+            for a, b in itertools.permutations(some, 2):
+                both = (m[a] >= 0) & (m[b] >= 0)
+                gap = np.abs(m[a, both] - m[b, both]).astype(float)
+                total = (gap[gap > 0] ** power).sum() * (40 / both.sum() if rescale else 1)
+                d2[a, b] = total ** (2 / (power or 1))
+            mean = d2.sum(axis=1) / 60
+            c = -0.5 * (d2 - mean[:, None] - mean + mean.mean())[some]
+            s, v = np.linalg.svd(c)[1:]
+            keep = [i for i in range(5) if (v[i][some] * (c @ v[i])).sum() > 0]
+            want = reduce.fix_signs(v[keep].T) * np.sqrt(s[keep])
+            found = distance.sample_distances(left, metric, p, tile=7, rescale=rescale, listed=False)
+            got = np.array([list(r["features"]) for r in reduce.classical_mds(found, 60, 5, None).orderBy("sample_no").collect()])
+            assert got.shape == want.shape and np.allclose(got, want, atol=1e-6)
+    assert not held
+    alone = df.filter("sample_no < 2 and (sample_no = 0) = (snp_idx < 9)")
+    with pytest.raises(Exception, match="no variant called in both"):
+        reduce.classical_mds(distance.sample_distances(alone, rescale=True, listed=False), 2)
+
+
 def test_components_by_share_keeps_one():
     assert reduce.components_by_share([9.0, 1.0], 0.5) == 1
     assert reduce.components_by_share([4.0, 3.0, 2.0, 1.0], 0.7) == 2
