@@ -144,6 +144,32 @@ def test_points_travel_by_chunks(spark, monkeypatch):
     assert len(met) <= balls.WAVES + 1 and max(met) <= 55 < r["compared"]
 
 
+def test_few_exact_distances_are_taken(spark):
+    """One product tells which pairs matter, also for points far from the origin, with ties and with wild numbers."""
+    rng = np.random.default_rng(9)
+    for shift, size in ((0.0, 1.0), (1e6, 1.0), (0.0, 1e-30), (0.0, 1e30)):
+        x = rng.normal(size=(700, 8)) * size + shift
+        x[100:140] = x[:40]
+        rough = balls.Rough.of(x, x)
+        d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+        assert np.abs(rough.block(slice(0, 700)) * rough.scale**2 - d2).max() <= rough.slack * rough.scale**2
+        ids, label = np.arange(700), np.arange(700) % 3
+        side = {"id": ids, "number": np.zeros(700, int), "x": x, "label": label, "reach": [None] * 700}
+        taken, plain = [], balls.Rough.exact
+        balls.Rough.exact = lambda self, rows, cols, taken=taken, plain=plain: taken.append(len(rows)) or plain(self, rows, cols)
+        try:
+            got = balls._kernel(4, True)(side, side, np.ones((1, 1), dtype=bool))
+        finally:
+            balls.Rough.exact = plain
+        d = np.sqrt(d2)
+        np.fill_diagonal(d, np.inf)
+        want = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :4]
+        assert (got["id"].to_numpy().reshape(700, 4) == want).all() and 0 < sum(taken) < 700 * 700 / 10
+    x[3, 2] = np.nan
+    assert balls.Rough.of(x, x) is None and balls.Rough.of(x[:2], x[:2] * 1e200) is None
+    assert len(balls._kernel(2, True)(side | {"x": x}, side | {"x": x}, np.ones((1, 1), dtype=bool))) == 699 * 2
+
+
 def test_neighbours_of_few_points(spark):
     df = spark.createDataFrame([(1, [0.0], 5), (2, [3.0], 6)], "id bigint, features array<double>, label int")
     got = sorted(tuple(r) for r in distance.nearest_neighbours(df, df, 4, exclude_self=True).collect())
